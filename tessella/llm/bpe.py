@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pre-tokens that a worker remembers, twice over; longer ones than CACHED_CHARS are never kept.
-CACHE, CACHED_CHARS = 150_000, 64
+CACHE, CACHED_CHARS = 300_000, 64
 #: Pre-tokens that are taken from a text at once.
 PIECES = 200_000
-_NONE = 1 << 62
+_NONE, _PLACE = 1 << 62, (1 << 34) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,42 +35,42 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: always the leftmost pair of the lowest rank is merged next."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
-    n = len(piece)
-    width = 1 << max(0, n - 1).bit_length()
-    part = [piece[i : i + 1] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    n, get = len(piece), ranks.get
+    width = 1 << max(0, n - 2).bit_length()
     tree = [_NONE] * (2 * width)
-
-    def key(i: int) -> int:
-        j = after[i]
-        r = ranks.get(part[i] + part[j]) if j < n else None
-        return _NONE if r is None else r << 34 | i
-
-    def put(i: int, value: int) -> None:
-        at = i + width
-        tree[at] = value
-        while at > 1:
-            at >>= 1
-            left, right = tree[2 * at], tree[2 * at + 1]
-            tree[at] = left if left <= right else right
-
-    for i in range(n):
-        tree[width + i] = key(i)
+    for i in range(n - 1):
+        if (r := get(piece[i : i + 2])) is not None:
+            tree[width + i] = r << 34 | i
     for at in range(width - 1, 0, -1):
-        tree[at] = min(tree[2 * at], tree[2 * at + 1])
-    while tree[1] != _NONE:
-        i = tree[1] & (1 << 34) - 1
+        left, right = tree[2 * at], tree[2 * at + 1]
+        tree[at] = left if left <= right else right
+    # A live part that starts at i is piece[i:after[i]].
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    while (low := tree[1]) != _NONE:
+        i = low & _PLACE
         j = after[i]
-        part[i] += part[j]
-        part[j] = b""
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        put(j, _NONE)
-        put(i, key(i))
-        if before[i] >= 0:
-            put(before[i], key(before[i]))
-    return [ranks[p] for p in part if p]
+        k = after[i] = after[j]
+        before[k] = i
+        r = get(piece[i : after[k]]) if k < n else None
+        changes = [(j, _NONE), (i, _NONE if r is None else r << 34 | i)]
+        if (h := before[i]) >= 0:
+            r = get(piece[h:k])
+            changes.append((h, _NONE if r is None else r << 34 | h))
+        for at, value in changes:
+            at += width
+            if at >= 2 * width:  # the last byte starts no pair
+                continue
+            while tree[at] != value:
+                tree[at] = value
+                if (at := at >> 1) == 0:
+                    break
+                left, right = tree[2 * at], tree[2 * at + 1]
+                value = left if left <= right else right
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[piece[i : after[i]]])
+        i = after[i]
+    return ids
 
 
 class Codec:
