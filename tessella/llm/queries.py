@@ -14,6 +14,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.contamination(postings.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import rules
+
+    return rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import crf
+
+    return crf.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import simhash
 
@@ -38,6 +50,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_quality": op2_quality,
+        "op4_toxicity": op4_toxicity,
         "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
         "op10_sharding": op10_sharding,
