@@ -24,11 +24,14 @@ from tessella.llm.samples import held_out, labelled
 TRAIN_DOCS, TRAIN_CHARS = 2500, 40_000
 THRESHOLD = 0.3
 SEGMENT_BYTES = 4 << 20
-#: Weights of hashed features, the stems' lengths in bytes, and the suffixes'.
-BUCKETS, PREFIXES, SUFFIXES = 1 << 18, (3, 4, 5, 6), (3,)
+#: Weights of hashed features, the stems' lengths in bytes (a word is longer than its stem), and the suffixes'.
+BUCKETS, PREFIXES, SUFFIXES = 1 << 18, (3, 4, 5, 6, 7, 8, 9), (3,)
 #: Least log ratio of document shares, and least toxic documents, for a word or stem to be labelled toxic.
 LOG_RATIO, SUPPORT = 3.5, 5
 
+#: Least marginal of a word that counts towards its document's score.
+LIKELY = 0.25
+_NO_STEM = np.uint64(0)
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 13, 33, 46, 63]] = True
 
@@ -52,7 +55,7 @@ def read(data: np.ndarray, offsets: np.ndarray) -> Words:
     h = bt.hashes(low, starts, ends)
     distinct, at, code = np.unique(h, return_index=True, return_inverse=True)
     s, e = starts[at], ends[at]
-    forms = [distinct] + [bt.hashes(low, s, np.minimum(s + k, e)) ^ np.uint64(k) for k in PREFIXES]
+    forms = [distinct] + [np.where(e - s > k, bt.hashes(low, s, np.minimum(s + k, e)) ^ np.uint64(k), _NO_STEM) for k in PREFIXES]
     forms += [bt.hashes(low, np.maximum(s, e - k), e) ^ np.uint64(100 + k) for k in SUFFIXES]
     ended = np.cumsum(_ENDS[data], dtype=np.int64)[starts] if len(data) else np.zeros(0, np.int64)
     change = np.ones(len(starts), bool)
@@ -71,7 +74,7 @@ class Field:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS))
     bias: float = -3.0
     turns: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    document: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0]))
+    document: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0, 0.0]))
 
     def emissions(self, w: Words) -> np.ndarray:
         return (self.bias + sum(self.weights[f % np.uint64(BUCKETS)] for f in w.forms))[w.code]
@@ -113,11 +116,12 @@ class Field:
 
 
 def _evidence(p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """Intercept, log odds that any word is toxic, and the expected number of toxic words (log)."""
-    none = np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-9)), n)
-    any_ = -np.expm1(none)
-    expected = np.bincount(row, p, n)
-    return np.stack([np.ones(n), np.log((any_ + 1e-3) / (1 - any_ + 1e-3)), np.log1p(expected)], 1)
+    """Intercept; log odds of the likeliest word; number of likely words, by their marginals; their share of all words."""
+    top, likely = np.full(n, 1e-3), np.where(p >= LIKELY, p, 0.0)
+    np.maximum.at(top, row, p)
+    top = np.minimum(top, 1 - 1e-3)
+    count = np.bincount(row, likely, n)
+    return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(count), np.log1p(200 * count / np.maximum(np.bincount(row, minlength=n), 1))], 1)
 
 
 def label_words(w: Words, y: np.ndarray) -> np.ndarray:
@@ -134,7 +138,7 @@ def label_words(w: Words, y: np.ndarray) -> np.ndarray:
         inside = np.bincount(pair[:, 0], y[pair[:, 1]], number.max() + 1)
         outside = np.bincount(pair[:, 0], 1 - y[pair[:, 1]], number.max() + 1)
         ratio = np.log((inside + 0.5) / toxic) - np.log((outside + 0.5) / clean)
-        marked |= ((ratio >= LOG_RATIO) & (inside >= SUPPORT))[number]
+        marked |= ((ratio >= LOG_RATIO) & (inside >= SUPPORT))[number] & (form[w.code] != _NO_STEM)
     return (marked & (y[w.row] == 1)).astype(int)
 
 
@@ -146,7 +150,7 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 80, penalty: float = 1e-4
     w = read(data, offsets)
     if not len(w.code) or not 0 < y.sum() < len(y):
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
-        model.document = np.array([math.log(share / (1 - share)), 0.0, 0.0])
+        model.document = np.array([math.log(share / (1 - share)), 0.0, 0.0, 0.0])
         return model
     label = label_words(w, y)
     # All sentences with a toxic word, and some others.
