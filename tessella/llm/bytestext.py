@@ -20,6 +20,8 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _RNG = np.random.default_rng(20240229)
 _VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _POWER = np.ones(1, np.uint64)
+#: Bytes of spans that are hashed at once.
+SPAN_BYTES = 1 << 19
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,22 +61,25 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span: random byte values times powers of an odd base, then mixed."""
     global _POWER
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    longest = int((ends - starts).max())
+    lengths = ends - starts
+    out = lengths.astype(np.uint64)
+    longest = int(lengths.max()) if len(lengths) else 0
     if longest > len(_POWER):
         _POWER = np.full(max(64, 2 * longest), 0x9E3779B97F4A7C15, np.uint64)
         _POWER[0] = 1
         _POWER = np.cumprod(_POWER)
-    lengths = ends - starts
-    ends_at = np.cumsum(lengths)
-    base = np.repeat(starts - (ends_at - lengths), lengths)
-    within = np.arange(len(base)) - np.repeat(ends_at - lengths, lengths)
-    values = _VALUE[data[base + np.arange(len(base))]] * _POWER[within]
-    h = np.add.reduceat(values, ends_at - lengths) + lengths.astype(np.uint64)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    for a, b in slices(total, SPAN_BYTES):
+        edge = total[a:b] - total[a]
+        n = lengths[a:b]
+        within = np.arange(total[b] - total[a]) - np.repeat(edge, n)
+        values = _VALUE[data[np.repeat(starts[a:b], n) + within]] * _POWER[within]
+        some = n > 0
+        if some.any():
+            out[a:b][some] += np.add.reduceat(values, edge[some])
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -142,7 +142,7 @@ def label_words(w: Words, y: np.ndarray) -> np.ndarray:
     return (marked & (y[w.row] == 1)).astype(int)
 
 
-def fit(texts: list[str], y: np.ndarray, rounds: int = 80, penalty: float = 1e-4, seed: int = 0) -> Field:
+def fit(texts: list[str], y: np.ndarray, rounds: int = 50, penalty: float = 1e-4, seed: int = 0) -> Field:
     """Adaptive gradient ascent of the penalised log likelihood; without toxic or without clean rows, a constant score."""
     model = Field()
     y = np.asarray(y, int)
