@@ -26,6 +26,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import pivots
+
+    return pivots.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import domtree
+
+    return domtree.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import simhash
 
@@ -52,6 +64,8 @@ def queries() -> dict:
         "op1_decontamination": op1_decontamination,
         "op2_quality": op2_quality,
         "op4_toxicity": op4_toxicity,
+        "op5_pivot_search": op5_pivot_search,
+        "op6_html": op6_html,
         "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
         "op10_sharding": op10_sharding,
