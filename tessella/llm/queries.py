@@ -38,6 +38,12 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domtree.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import suffixdedup
+
+    return suffixdedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import simhash
 
@@ -66,6 +72,7 @@ def queries() -> dict:
         "op4_toxicity": op4_toxicity,
         "op5_pivot_search": op5_pivot_search,
         "op6_html": op6_html,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
         "op10_sharding": op10_sharding,
