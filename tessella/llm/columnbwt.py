@@ -79,8 +79,9 @@ def repeated(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     out = np.zeros(len(data), bool)
     if not len(starts):
         return out
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.ndarray((len(data),), "<u8", padded.tobytes(), strides=(1,))
+    used = int(ends.max())
+    padded = np.concatenate([data[:used], np.zeros(8, np.uint8)])
+    words = np.ndarray((used,), "<u8", padded.tobytes(), strides=(1,))
     words = words & np.uint64((1 << 8 * width) - 1)
     symbols = np.unique(words, return_inverse=True)[1].astype(np.int64)
     phase = np.arange(width)

@@ -35,7 +35,7 @@ CHUNK = 1 << 17
 #: Texts of one anchor beyond which it is split, and windows of a piece then.
 HOT, PIECE = 2000, 32
 #: Bytes of texts whose transform is built at once; more only if one anchor has more.
-BUILD_BYTES = 400_000
+BUILD_BYTES = 64_000
 BUCKET_BYTES = 16 << 20
 
 _PLACE = np.uint64((1 << 20) - 1)
@@ -198,10 +198,14 @@ def _spans(texts: DataFrame, length: int) -> DataFrame:
         def flush():
             if not held:
                 return
+            # Copies of a text that is alone under its anchor have no neighbour but each other.
+            alone = [r[4] > 1 and (i == 0 or held[i - 1][0] != r[0]) and (i + 1 == len(held) or held[i + 1][0] != r[0]) for i, r in enumerate(held)]
+            held.sort(key=lambda r, skip=iter(alone): next(skip))
             length_of = np.array([len(r[3]) for r in held])
             ends = np.cumsum(length_of)
             data = np.frombuffer(b"".join(r[3] for r in held), np.uint8)
-            hit = columnbwt.repeated(data, ends - length_of, ends, length, width)
+            some = len(held) - sum(alone)
+            hit = columnbwt.repeated(data, (ends - length_of)[:some], ends[:some], length, width)
             out = []
             for (h, c1, c2, text, weight), a, b in zip(held, (ends - length_of).tolist(), ends.tolist()):
                 mine = np.ones(len(text) - length + 1, bool) if weight > 1 else hit[a : b - length + 1]
