@@ -126,7 +126,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     @F.pandas_udf("array<int>")
     def ids(texts):
         codec = _codec(sent)
-        return texts.map(lambda t: np.frombuffer(codec.encode(t), "<i4") if isinstance(t, str) else np.zeros(0, np.int32))
+        return texts.map(lambda t: np.frombuffer(codec.encode(t), "<i4"))
 
     return docs.withColumn(out, ids(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -251,3 +252,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
     """doc_id, held_out, score, predicted and spans of every row of docs, by a field trained on labels (doc_id, toxic)."""
     rows = tag(docs, train(docs, labels, **sample))
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+
+
+def without_toxic(docs: DataFrame, model: Field, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score under threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts):
+        model, out = sent.value, []
+        data, offsets = bt.utf8(pa.array(texts, pa.large_string(), from_pandas=True))
+        for a, b in bt.slices(offsets, SEGMENT_BYTES):
+            w = read(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            out.append(model.score(model.word_marginals(w), w.row, b - a))
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+    return docs.where(score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) < threshold)

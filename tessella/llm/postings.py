@@ -208,3 +208,11 @@ def contamination(index: DataFrame, tests: DataFrame, window: int = WINDOW) -> D
                     shas.clear()
 
     return index.mapInArrow(judge, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def without_contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs that are not contaminated; rows are told apart by a hash of id and text."""
+    row = F.xxhash64(F.lit(4), F.col(id_col), F.col(text_col))
+    found = contamination(build_index(docs.select(row.alias("doc_id"), F.col(text_col).alias("text"))), tests, window)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
+    return docs.withColumn("_row", row).join(bad, "_row", "left_anti").select(*docs.columns)

@@ -78,17 +78,19 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE,
     return out
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id and fp (long) of every row; null and empty texts have fp zero."""
+def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the long columns named in keep, and fp (long) of every row; null and empty texts have fp zero."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = bt.utf8(batch.column(1))
+            *ids, texts = batch.columns
+            data, offsets = bt.utf8(texts)
             for a, b in bt.slices(offsets, SEGMENT_BYTES):
                 fp = fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in ids], pa.array(fp.view(np.int64))], names=["doc_id", *keep, "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(prints, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("long").alias(c) for c in keep], F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(prints, ", ".join(f"{c} long" for c in ("doc_id", *keep, "fp")))
 
 
 def _grids(most: int) -> list[tuple[int, ...]]:
@@ -231,3 +233,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(classes, near_links(classes, most), "fp", "least")
     named = prints.join(labels, "fp", "left")
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
+    """The rows of docs without near copies: of each component the row with the least id stays, once.
+
+    Rows with a null id stay only where their component has no other; of those, and of rows that share the least id,
+    one stays.
+    """
+    row = F.xxhash64(F.lit(3), F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1) - F.abs(F.shiftright(row, 2)))
+    prints = written(with_fingerprint(docs.select(order.alias("_order"), row.alias("_row"), F.col(text_col).alias("_text")), "_order", "_text", shingle, ("_row",)), "fingerprints")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    labels = components(classes, near_links(classes, most), "fp", "least")
+    first = prints.join(labels, "fp").where(F.col("doc_id") == F.col("least")).groupBy("least").agg(F.min("_row").alias("_row"))
+    kept = docs.withColumn("_row", row).join(first.select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.select(*docs.columns)
