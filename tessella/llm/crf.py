@@ -22,7 +22,7 @@ from tessella.llm import bytestext as bt
 from tessella.llm.samples import held_out, labelled
 
 #: Labelled documents of each class that the model is fitted on, at most, and the longest text among them.
-TRAIN_DOCS, TRAIN_CHARS = 2500, 40_000
+TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
 THRESHOLD = 0.3
 SEGMENT_BYTES = 4 << 20
 #: Weights of hashed features, the stems' lengths in bytes (a word is longer than its stem), and the suffixes'.
@@ -58,7 +58,7 @@ def read(data: np.ndarray, offsets: np.ndarray) -> Words:
     s, e = starts[at], ends[at]
     forms = [distinct] + [np.where(e - s > k, bt.hashes(low, s, np.minimum(s + k, e)) ^ np.uint64(k), _NO_STEM) for k in PREFIXES]
     forms += [bt.hashes(low, np.maximum(s, e - k), e) ^ np.uint64(100 + k) for k in SUFFIXES]
-    ended = np.cumsum(_ENDS[data], dtype=np.int64)[starts] if len(data) else np.zeros(0, np.int64)
+    ended = np.cumsum(_ENDS[data], dtype=np.int32)[starts] if len(data) else np.zeros(0, np.int64)
     change = np.ones(len(starts), bool)
     change[1:] = (ended[1:] != ended[:-1]) | (row[1:] != row[:-1])
     return Words(starts, ends, row, code, np.flatnonzero(change), forms)
@@ -80,8 +80,8 @@ class Field:
     def emissions(self, w: Words) -> np.ndarray:
         return (self.bias + sum(self.weights[f % np.uint64(BUCKETS)] for f in w.forms))[w.code]
 
-    def marginals(self, scores: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of state 1 of each word, and of both states of each neighbouring pair (n, 2, 2; zero at sentence starts)."""
+    def marginals(self, scores: np.ndarray, sentences: np.ndarray, both: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """Probability of state 1 of each word, and if asked of both states of each neighbouring pair (n, 2, 2; zero at sentence starts)."""
         n = len(scores)
         length = np.diff(np.append(sentences, n))
         order = np.argsort(-length, kind="stable")
@@ -99,8 +99,10 @@ class Field:
             at = first[: active[t + 1]] + t
             x = (emit[at + 1] * back[at + 1]) @ turn.T
             back[at] = x / x.sum(1, keepdims=True)
-        both = ahead * back
-        single = both[:, 1] / both.sum(1)
+        single = ahead[:, 1] * back[:, 1]
+        single /= single + ahead[:, 0] * back[:, 0]
+        if not both:
+            return single, None
         pairs = np.zeros((n, 2, 2))
         if n > 1:
             x = ahead[:-1, :, None] * turn * (emit[1:] * back[1:])[:, None, :]
@@ -109,7 +111,7 @@ class Field:
         return single, pairs
 
     def word_marginals(self, w: Words) -> np.ndarray:
-        return self.marginals(self.emissions(w), w.sentences)[0] if len(w.code) else np.zeros(0)
+        return self.marginals(self.emissions(w), w.sentences, False)[0] if len(w.code) else np.zeros(0)
 
     def score(self, p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         """Scores of n documents from the marginals of their words; without words, the score of no evidence."""
@@ -135,9 +137,9 @@ def label_words(w: Words, y: np.ndarray) -> np.ndarray:
             continue
         _, number = np.unique(form, return_inverse=True)
         number = number[w.code]
-        pair = np.unique(np.stack([number, w.row], 1), axis=0)
-        inside = np.bincount(pair[:, 0], y[pair[:, 1]], number.max() + 1)
-        outside = np.bincount(pair[:, 0], 1 - y[pair[:, 1]], number.max() + 1)
+        word, row = np.divmod(np.unique(number * len(y) + w.row), len(y))
+        inside = np.bincount(word, y[row], number.max() + 1)
+        outside = np.bincount(word, 1 - y[row], number.max() + 1)
         ratio = np.log((inside + 0.5) / toxic) - np.log((outside + 0.5) / clean)
         marked |= ((ratio >= LOG_RATIO) & (inside >= SUPPORT))[number] & (form[w.code] != _NO_STEM)
     return (marked & (y[w.row] == 1)).astype(int)
