@@ -20,6 +20,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import licences
+
+    return licences.licences(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import crf
 
@@ -69,6 +75,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_quality": op2_quality,
+        "op3_licences": op3_licences,
         "op4_toxicity": op4_toxicity,
         "op5_pivot_search": op5_pivot_search,
         "op6_html": op6_html,
