@@ -17,9 +17,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pre-tokens that a worker remembers, twice over; longer ones than CACHED_CHARS are never kept.
-CACHE, CACHED_CHARS = 300_000, 64
+CACHE, CACHED_CHARS = 200_000, 64
 #: Pre-tokens that are taken from a text at once.
 PIECES = 200_000
 _NONE, _PLACE = 1 << 62, (1 << 34) - 1
@@ -143,6 +144,33 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", out:
     return docs.withColumn(out, back(F.col(ids_col)))
 
 
+def tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """docs with ids (array<int>), n_tokens, and round_trip: whether the ids decode to the text's bytes again.
+
+    Null text counts as empty. Columns of docs with these names are replaced.
+    """
+    sent = _send(docs.sparkSession, path, pattern)
+    docs = docs.drop("ids", "n_tokens", "round_trip")
+    names = docs.columns
+    at = names.index(text_col)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(sent)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                coded = [codec.encode(t) for t in texts]
+                same = [codec.decode(c) == t.encode() for c, t in zip(coded, texts)]
+                n = np.array([len(c) // 4 for c in coded], np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(n.astype(np.int64)), pa.array(same)], names=[*names, "ids", "n_tokens", "round_trip"])
+
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    schema = T.StructType([*docs.schema.fields, *added])
+    return docs.mapInArrow(code, schema)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_tokens, ids_sha256, decoded_sha256. Ids are never held for more than one text at once.
 

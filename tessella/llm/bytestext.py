@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,6 +83,14 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out ^ (out >> np.uint64(32))
 
 
+def trim() -> None:
+    """Gives freed memory back, so that a worker that is used again does not keep the peak of each operator."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of each lower-cased word of the contamination rule, in order."""
     low = LOWER[data]

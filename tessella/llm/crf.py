@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ from tessella.llm.samples import held_out, labelled
 #: Labelled documents of each class that the model is fitted on, at most, and the longest text among them.
 TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
 THRESHOLD = 0.3
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 #: Weights of hashed features, the stems' lengths in bytes (a word is longer than its stem), and the suffixes'.
 BUCKETS, PREFIXES, SUFFIXES = 1 << 18, (3, 4, 5, 6, 7, 8, 9), (3,)
 #: Least log ratio of document shares, and least toxic documents, for a word or stem to be labelled toxic.
@@ -246,6 +245,7 @@ def tag(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "
                 w = read(part, off)
                 p = model.word_marginals(w)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.score(p, w.row, b - a)), pa.array(_spans(w, p, part, off, least), arrow)], names=["doc_id", "score", "spans"])
+            bt.trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tagged, kind)
 
@@ -260,13 +260,16 @@ def without_toxic(docs: DataFrame, model: Field, threshold: float = THRESHOLD, t
     """The rows of docs that score under threshold."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        model, out = sent.value, []
-        data, offsets = bt.utf8(pa.array(texts, pa.large_string(), from_pandas=True))
-        for a, b in bt.slices(offsets, SEGMENT_BYTES):
-            w = read(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            out.append(model.score(model.word_marginals(w), w.row, b - a))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    at = docs.columns.index(text_col)
 
-    return docs.where(score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) < threshold)
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            data, offsets = bt.utf8(batch.column(at))
+            for a, b in bt.slices(offsets, SEGMENT_BYTES):
+                w = read(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                score = model.score(model.word_marginals(w), w.row, b - a)
+                yield batch.slice(a, b - a).filter(pa.array(score < threshold))
+            bt.trim()
+
+    return docs.mapInArrow(clean, docs.schema)

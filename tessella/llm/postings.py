@@ -23,7 +23,7 @@ from tessella.llm.store import written
 
 WINDOW = 13
 #: Bytes of text in a segment; a longer document is a segment of its own.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 #: Words of the test set that are searched for at once; a larger set is taken in blocks.
 BLOCK_WORDS = 2_000_000
 #: Candidate starts that are intersected at once.
@@ -49,6 +49,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             steps = np.diff(position[order], prepend=0).astype(np.int32)
             cells = [ids[a:b], known[a:b], starts.astype(np.int64), sorted_h[first], counts.astype(np.int32), steps]
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], names=[x.split()[0] for x in INDEX.split(", ")])
+        bt.trim()
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from tessella.llm.samples import held_out, labelled
 #: Labelled documents of each class that the rules are fitted on, at most.
 TRAIN_DOCS = 10_000
 THRESHOLD = 0.7
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 TREES, DEPTH, BINS = 60, 3, 48
 
 STATISTICS = (

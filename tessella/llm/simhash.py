@@ -25,7 +25,7 @@ from tessella.llm.components import components
 from tessella.llm.store import written
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 20
 #: Rows of a cell that one task compares with each other; larger cells are split into pairs of blocks.
 CELL = 256
 _BLOCKS = 8
@@ -88,6 +88,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for a, b in bt.slices(offsets, SEGMENT_BYTES):
                 fp = fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in ids], pa.array(fp.view(np.int64))], names=["doc_id", *keep, "fp"])
+            bt.trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("long").alias(c) for c in keep], F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(prints, ", ".join(f"{c} long" for c in ("doc_id", *keep, "fp")))

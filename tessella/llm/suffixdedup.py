@@ -29,7 +29,7 @@ from tessella.llm import columnbwt
 from tessella.llm.store import release, written
 
 LENGTH = 200
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 20
 #: Windows whose anchors are searched at once; with a window's grams they must fit the 20 bits of a place.
 CHUNK = 1 << 17
 #: Texts of one anchor beyond which it is split, and windows of a piece then.
@@ -154,6 +154,7 @@ def _spans(texts: DataFrame, length: int) -> DataFrame:
                 row = np.searchsorted(off, first, "right") - 1
                 take = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((first - off[row]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.minimum(places, 2).astype(np.int32))], names=["h", "k1", "k2", "first", "size", "places"])
+            bt.trim()
 
     runs = texts.select("k1", "k2", "text").mapInArrow(find, "h long, k1 long, k2 long, first int, size int, places int")
     runs = written(runs, "runs")
