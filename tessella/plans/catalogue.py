@@ -1,9 +1,364 @@
 """All queries over the driver's tables, with the SQL that must give the same rows."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tessella.functions import grid, tags
+from tessella.operators import audit, graph, raster, rollup, scan, sequence, telemetry
+from tessella.plans.views import Views, sql
+from tessella.sources import textmap
+
+_QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- grid -----------------------------------------------------------------------------------------------------------
+
+
+@query(sql("pts pt_tile district_tile", """SELECT COUNT(*) AS tiles, CAST(SUM(n) AS BIGINT) AS tiles_with_overlap, COUNT(*) FILTER (n > 1) AS shared_tiles, CAST(ROUND(COUNT(*) * 0.64, 2) AS DOUBLE) AS area_km2
+    FROM (SELECT ix, iy, COUNT(*) AS n FROM district_tile GROUP BY ix, iy)"""))
+def world_total(v):
+    return rollup.world_total(v.district_tile(), 800).withColumn("area_km2", F.col("area_km2").cast("double"))
+
+
+@query(sql("pts pt_tile district_tile", "SELECT district_id, COUNT(*) AS tiles, CAST(ROUND(COUNT(*) * 0.64, 2) AS DOUBLE) AS area_km2, MIN(ix) AS min_ix, MAX(ix) AS max_ix, MIN(iy) AS min_iy, MAX(iy) AS max_iy FROM district_tile GROUP BY district_id"))
+def district_summary(v):
+    return v.district_tile().groupBy("district_id").agg(F.count("*").alias("tiles"), F.round(F.count("*") * F.lit(0.64), 2).alias("area_km2"), F.min("ix").alias("min_ix"), F.max("ix").alias("max_ix"), F.min("iy").alias("min_iy"), F.max("iy").alias("max_iy"))
+
+
+@query(sql("pts pt_tile", "SELECT pt_id, 'bng800-' || ix || '-' || iy AS tile_id, (easting - ix * 800) * 32 AS map_x, (northing - iy * 800) * 32 AS map_y FROM pt_tile"))
+def tile_assign(v):
+    ix, iy = grid.tile_index(F.col("easting")), grid.tile_index(F.col("northing"))
+    return v.pts().select("pt_id", grid.tile_id(ix, iy).alias("tile_id"), grid.to_units(F.col("easting"), ix * 800).alias("map_x"), grid.to_units(F.col("northing"), iy * 800).alias("map_y"))
+
+
+_LETTERS = "SUBSTRING('ABCDEFGHJKLMNOPQRSTUVWXYZ', CAST({} AS INT) + 1, 1)"
+
+
+@query(sql("pts", f"""SELECT pt_id, {_LETTERS.format("r - r % 5 + (e + 10) // 5")} || {_LETTERS.format("(r * 5) % 25 + e % 5")} AS square,
+    {_LETTERS.format("r - r % 5 + (e + 10) // 5")} || {_LETTERS.format("(r * 5) % 25 + e % 5")} || LPAD(CAST((easting // 5000 * 5000) % 100000 // 1000 AS VARCHAR), 2, '0') || LPAD(CAST((northing // 5000 * 5000) % 100000 // 1000 AS VARCHAR), 2, '0') AS grid_tile
+    FROM (SELECT *, easting // 100000 AS e, 19 - northing // 100000 AS r FROM pts)"""))
+def grid_squares(v):
+    e, n = F.col("easting"), F.col("northing")
+    return v.pts().select("pt_id", grid.grid_square(e, n).alias("square"), grid.grid_tile(e, n).alias("grid_tile"))
+
+
+@query(sql("pts", """SELECT pt_id, cell_e, cell_n FROM (SELECT pt_id, UNNEST(RANGE(easting // 5000 * 5000, easting + 800 * (pt_id % 7), 5000)) AS cell_e, northing, pt_id % 7 AS k FROM pts) a,
+    LATERAL (SELECT UNNEST(RANGE(a.northing // 5000 * 5000, a.northing + 800 * a.k, 5000)) AS cell_n) b"""))
+def cells_of_boxes(v):
+    far = lambda c: F.col(c) + 800 * (F.col("pt_id") % 7)
+    rows = v.pts().withColumn("cell_e", F.explode(grid.cells(F.col("easting"), far("easting"), 5000)))
+    return rows.select("pt_id", "cell_e", F.explode(grid.cells(F.col("northing"), far("northing"), 5000)).alias("cell_n"))
+
+
+@query(sql("pts pt_tile", "SELECT ix, iy, CASE WHEN n <= 99 THEN 'MAP' || LPAD(CAST(i + 1 AS VARCHAR), 2, '0') ELSE 'M' || LPAD(CAST(i + 1 AS VARCHAR), 4, '0') END AS map_name FROM (SELECT ix, iy, ROW_NUMBER() OVER (ORDER BY iy, ix) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT ix, iy FROM pt_tile WHERE district_id = 7))"))
+def map_names(v):
+    tiles = v.pt_tile().where("district_id = 7").select("ix", "iy").distinct()  # one district's tiles: a pack
+    return tiles.select("ix", "iy", grid.map_name(F.row_number().over(W.orderBy("iy", "ix")) - 1, F.count("*").over(W.partitionBy())).alias("map_name"))
+
+
+@query("SELECT s_suppkey, TRIM(REGEXP_REPLACE(LOWER(s_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM supplier")
+def slugs(v):
+    return v.table("supplier").select("s_suppkey", grid.slug(F.col("s_name")).alias("slug"))
+
+
+@query(sql("pts pt_tile", "SELECT a.ix, a.iy, COUNT(b.ix) AS neighbours FROM (SELECT DISTINCT ix, iy FROM pt_tile) a LEFT JOIN (SELECT DISTINCT ix, iy FROM pt_tile) b ON ABS(a.ix - b.ix) + ABS(a.iy - b.iy) = 1 GROUP BY a.ix, a.iy"))
+def tile_neighbours(v):
+    tiles = v.pt_tile().select("ix", "iy").distinct()
+    around = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
+    shifted = tiles.withColumn("d", around).select((F.col("ix") + F.col("d.dx")).alias("ix"), (F.col("iy") + F.col("d.dy")).alias("iy"))
+    counts = shifted.groupBy("ix", "iy").agg(F.count("*").alias("n"))
+    return tiles.join(counts, ["ix", "iy"], "left").select("ix", "iy", F.coalesce("n", F.lit(0).cast("long")).alias("neighbours"))
+
+
+@query()
+def osgb_points(v):
+    """Easting and northing of a lattice of degrees; held to published points in the tests."""
+    lon, lat = (F.col("c_custkey") % 100) / 50.0 - 1.0, 50.5 + (F.col("c_custkey") % 61) / 60.0
+    points = grid.with_osgb(v.table("customer").select("c_custkey", lon.alias("lon"), lat.alias("lat")))
+    return points.select("c_custkey", F.round("easting", 1).alias("easting"), F.round("northing", 1).alias("northing"))
+
+
+# --- tags -----------------------------------------------------------------------------------------------------------
+
+_BUCKET = """CASE WHEN building IS NOT NULL THEN CASE WHEN closed AND points >= 4 THEN 'buildings' END WHEN highway IS NOT NULL THEN 'roads' WHEN railway IS NOT NULL THEN 'railways'
+    WHEN barrier IS NOT NULL AND waterway IS NULL THEN 'barriers' WHEN natural_ = 'coastline' THEN 'coastline' WHEN natural_ = 'water' OR waterway = 'riverbank' THEN CASE WHEN closed THEN 'water' END
+    WHEN (landuse IS NOT NULL OR natural_ IS NOT NULL) AND closed THEN 'landuse' END"""
+
+
+@query(sql("ways way_nodes box", f"SELECT bucket, COUNT(*) AS ways, CAST(SUM(osm_id) AS BIGINT) AS id_sum FROM (SELECT osm_id, {_BUCKET} AS bucket FROM ways LEFT JOIN box ON osm_id = way_id) WHERE bucket IS NOT NULL GROUP BY bucket"))
+def classify_ways(v):
+    points = scan.boxes_of(v.way_nodes(), "way_id").select(F.col("way_id").alias("osm_id"), "points")
+    c = F.col
+    bucket = tags.bucket(c("building"), c("highway"), c("railway"), c("barrier"), c("waterway"), c("natural_"), c("landuse"), F.lit(None).cast("string"), c("closed"), c("points"))
+    return v.ways().join(points, "osm_id", "left").withColumn("bucket", bucket).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("ways"), F.sum("osm_id").alias("id_sum"))
+
+
+_LENGTH = """CASE WHEN {0} LIKE '%''' THEN CAST(LEFT({0}, LENGTH({0}) - 1) AS DOUBLE) * 0.3048 WHEN {0} LIKE '%ft' THEN CAST(LEFT({0}, LENGTH({0}) - 2) AS DOUBLE) * 0.3048
+    WHEN {0} LIKE '%d' THEN NULL WHEN {0} LIKE '%m' THEN CAST(TRIM(REPLACE(LEFT({0}, LENGTH({0}) - 1), ',', '.')) AS DOUBLE) ELSE CAST({0} AS DOUBLE) END"""
+
+
+@query(sql("ways", f"SELECT osm_id, ROUND({_LENGTH.format('height_tag')}, 4) AS height_m FROM ways"))
+def parse_lengths(v):
+    return v.ways().select("osm_id", F.round(tags.parse_length(F.col("height_tag")), 4).alias("height_m"))
+
+
+@query(sql("ways", f"SELECT osm_id, ROUND(COALESCE({_LENGTH.format('height_tag')}, CASE WHEN building = 'house' THEN 6.5 ELSE 7.0 END), 4) AS height_m, CAST(GREATEST(1, LEAST(4, ROUND(COALESCE({_LENGTH.format('height_tag')}, CASE WHEN building = 'house' THEN 6.5 ELSE 7.0 END) / 3.1))) AS INT) AS storeys FROM ways"))
+def building_heights(v):
+    none = F.lit(None).cast("string")
+    height = tags.building_height(F.col("height_tag"), none, F.col("building"), none)
+    return v.ways().select("osm_id", F.round(height, 4).alias("height_m"), tags.storeys(height).alias("storeys"))
+
+
+@query(sql("ways", "SELECT osm_id, CAST(CASE highway WHEN 'residential' THEN 7.0 ELSE 2.0 END AS DOUBLE) AS width_m FROM ways WHERE highway IS NOT NULL UNION ALL SELECT osm_id, CAST(9.0 AS DOUBLE) FROM ways WHERE highway IS NULL AND railway IS NOT NULL"))
+def corridor_widths(v):
+    none = F.lit(None).cast("string")
+    width = F.coalesce(tags.width(none, F.col("highway"), tags.ROAD_WIDTHS), tags.width(none, F.col("railway"), tags.RAIL_WIDTHS, tags.RAIL_SKIPPED))
+    return v.ways().select("osm_id", width.alias("width_m")).where("width_m IS NOT NULL")
+
+
+@query(sql("ways", "SELECT cover, n AS parcels, ROUND(100.0 * n / SUM(n) OVER (), 1) AS pct FROM (SELECT COALESCE(CASE landuse WHEN 'farmland' THEN 'farm' END, CASE natural_ WHEN 'wood' THEN 'wood' END, 'terrain') AS cover, COUNT(*) AS n FROM ways GROUP BY 1)"))
+def land_cover_shares(v):
+    none = F.lit(None).cast("string")
+    cover = F.coalesce(tags.land_cover(none, F.col("landuse"), F.col("natural_"), none), F.lit("terrain"))
+    counts = v.ways().groupBy(cover.alias("cover")).agg(F.count("*").alias("parcels"))
+    return counts.withColumn("pct", F.round(100.0 * F.col("parcels") / F.sum("parcels").over(W.partitionBy()), 1))  # a row a cover
+
+
+# --- raster ---------------------------------------------------------------------------------------------------------
+
+
+@query(sql("pixel", "SELECT tile_no, MEDIAN(dtm) AS median_dtm, ROUND(QUANTILE_CONT(dsm - dtm, 0.9), 4) AS p90_height, COUNT(dtm) / 1600.0 AS coverage FROM pixel GROUP BY tile_no"))
+def raster_zonal(v):
+    return raster.zonal(v.pixel(), 40, 40).withColumn("p90_height", F.round("p90_height", 4))
+
+
+@query(sql("pixel filled", "SELECT tile_no, prow, pcol, z FROM filled"))
+def raster_fill(v):
+    return raster.fill_holes(v.pixel(), 40, 40)
+
+
+def _blurred(source: str, axis: str) -> str:
+    other = "pcol" if axis == "prow" else "prow"
+    return f"SELECT a.tile_no, a.{axis}, a.{other}, AVG(b.z) AS z FROM {source} a CROSS JOIN (SELECT UNNEST(RANGE(-2, 3)) AS d) o JOIN {source} b ON b.tile_no = a.tile_no AND b.{other} = a.{other} AND b.{axis} = GREATEST(0, LEAST(39, a.{axis} + o.d)) GROUP BY 1, 2, 3"
+
+
+@query(sql("pixel filled", f"+ b1 AS ({_blurred('filled', 'prow')}), b2 AS ({_blurred('b1', 'pcol')}) SELECT tile_no, prow, pcol, ROUND(z, 5) AS z FROM b2"))
+def raster_smooth(v):
+    return raster.smooth(raster.fill_holes(v.pixel(), 40, 40), 2, 1).withColumn("z", F.round("z", 5))
+
+
+@query(sql("pixel filled", "SELECT tile_no, CAST(FLOOR(z / 4.0) AS BIGINT) AS band, COUNT(*) AS cells FROM filled GROUP BY 1, 2"))
+def raster_bands(v):
+    return raster.bands(raster.fill_holes(v.pixel(), 40, 40), 4.0).groupBy("tile_no", "band").agg(F.count("*").alias("cells"))
+
+
+# --- sequences ------------------------------------------------------------------------------------------------------
+
+
+@query(sql("way_nodes", "SELECT way_id, seq, ROUND(COALESCE(REGR_INTERCEPT(x, seq) OVER w + REGR_SLOPE(x, seq) OVER w * seq, x), 4) AS fitted FROM way_nodes WINDOW w AS (PARTITION BY way_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"))
+def profile_straighten(v):
+    return sequence.straighten(v.way_nodes(), 2, "way_id", "seq", "x").select("way_id", "seq", F.round("fitted", 4).alias("fitted"))
+
+
+@query(sql("way_nodes ring", "SELECT way_id, CAST(SUM(x1 * y2 - x2 * y1) AS BIGINT) AS area2 FROM ring GROUP BY way_id"))
+def ring_areas(v):
+    return sequence.areas(sequence.rings(v.way_nodes()))
+
+
+@query(sql("way_nodes", "SELECT way_id, COUNT(*) AS kept FROM (SELECT way_id, x, y, LAG(x) OVER w AS px, LAG(y) OVER w AS py FROM way_nodes WINDOW w AS (PARTITION BY way_id ORDER BY seq)) WHERE px IS NULL OR NOT (px = x AND py = y) GROUP BY way_id HAVING COUNT(*) >= 2"))
+def consecutive_points(v):
+    return sequence.without_repeats(v.way_nodes()).groupBy("way_id").agg(F.count("*").alias("kept"))
+
+
+@query("SELECT o_custkey AS face, spec, o_orderkey AS ord FROM (SELECT o_custkey, o_orderkey, o_orderpriority AS spec, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def last_spec_wins(v):
+    return sequence.last_wins(v.table("orders").select(F.col("o_custkey").alias("face"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("spec")), ["face"], ["ord"])
+
+
+@query(sql("way_nodes segs", "SELECT a, b, CAST(SUM(n) AS BIGINT) AS shared FROM (SELECT DISTINCT s.way_id AS a, t.way_id AS b, 1 AS n, LEAST(s.x1 * 20000 + s.y1, s.x2 * 20000 + s.y2) AS k FROM segs s JOIN segs t ON s.way_id < t.way_id AND LEAST(s.x1 * 20000 + s.y1, s.x2 * 20000 + s.y2) = LEAST(t.x1 * 20000 + t.y1, t.x2 * 20000 + t.y2)) GROUP BY a, b"))
+def shared_corners(v):
+    corner = lambda k: F.col(f"x{k}") * 20000 + F.col(f"y{k}")
+    keyed = sequence.segments(v.way_nodes()).select("way_id", F.least(corner(1), corner(2)).alias("k")).distinct()
+    pairs = keyed.alias("s").join(keyed.alias("t"), (F.col("s.k") == F.col("t.k")) & (F.col("s.way_id") < F.col("t.way_id")))
+    return pairs.groupBy(F.col("s.way_id").alias("a"), F.col("t.way_id").alias("b")).agg(F.count("*").alias("shared"))
+
+
+# --- scans and spatial joins ----------------------------------------------------------------------------------------
+
+
+def _query_boxes(v):
+    return v.table("supplier").selectExpr("s_suppkey AS query_id", "(s_suppkey * 577) % 12000 AS q_west", "(s_suppkey * 811) % 12000 AS q_south", "(s_suppkey * 577) % 12000 + 300 AS q_east", "(s_suppkey * 811) % 12000 + 300 AS q_north")
+
+
+@query(sql("way_nodes box query_box", "SELECT query_id, COUNT(*) AS ways, CAST(SUM(way_id) AS BIGINT) AS id_sum FROM query_box JOIN box ON west <= q_east AND east >= q_west AND south <= q_north AND north >= q_south GROUP BY query_id"))
+def index_candidates(v):
+    found = scan.candidates(_query_boxes(v), scan.boxes_of(v.way_nodes(), "way_id"), 1600)
+    return found.groupBy("query_id").agg(F.count("*").alias("ways"), F.sum("way_id").alias("id_sum"))
+
+
+_SIDE = "(x2 - x1) * ({1} - y1) - (y2 - y1) * ({0} - x1)"
+_SIDES = ", ".join(_SIDE.format(x, y) for x in ("q_west", "q_east") for y in ("q_south", "q_north"))
+
+
+@query(sql("way_nodes segs query_box", f"SELECT query_id, COUNT(DISTINCT way_id) AS ways FROM query_box JOIN segs ON LEAST(x1, x2) <= q_east AND GREATEST(x1, x2) >= q_west AND LEAST(y1, y2) <= q_north AND GREATEST(y1, y2) >= q_south AND LEAST({_SIDES}) <= 0 AND GREATEST({_SIDES}) >= 0 GROUP BY query_id"))
+def tile_scan(v):
+    return scan.linework(_query_boxes(v), sequence.segments(v.way_nodes()), 1600).groupBy("query_id").agg(F.count("*").alias("ways"))
+
+
+_CROSS = "(x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)"
+
+
+@query(sql("way_nodes ring", f"+ p AS (SELECT s_suppkey AS pt_id, (s_suppkey * 7001) % 12800 AS px, (s_suppkey * 3373) % 12800 AS py FROM supplier) SELECT pt_id, COUNT(*) AS rings, CAST(SUM(way_id) AS BIGINT) AS id_sum FROM (SELECT pt_id, way_id FROM p JOIN ring ON (y1 <= py AND y2 > py AND {_CROSS} > 0) OR (y1 > py AND y2 <= py AND {_CROSS} < 0) GROUP BY pt_id, way_id HAVING COUNT(*) % 2 = 1) GROUP BY pt_id"))
+def points_in_rings(v):
+    points = v.table("supplier").selectExpr("s_suppkey AS pt_id", "(s_suppkey * 7001) % 12800 AS px", "(s_suppkey * 3373) % 12800 AS py")
+    found = scan.inside(points, sequence.rings(v.way_nodes()), 800)
+    return found.groupBy("pt_id").agg(F.count("*").alias("rings"), F.sum("way_id").alias("id_sum"))
+
+
+@query(sql("pts", """+ q AS (SELECT s_suppkey AS place_id, 540000 + (s_suppkey * 6007) % 100000 AS qx, 116000 + (s_suppkey * 50021) % 64000 AS qy FROM supplier),
+    d AS (SELECT pt_id, place_id, (easting - qx) * (easting - qx) + (northing - qy) * (northing - qy) AS d2, ROW_NUMBER() OVER (PARTITION BY pt_id ORDER BY (easting - qx) * (easting - qx) + (northing - qy) * (northing - qy), place_id) AS r FROM pts, q)
+    SELECT pt_id, place_id, d2 FROM d WHERE r = 1 AND d2 <= 4000000"""))
+def nearest_place(v):
+    places = v.table("supplier").selectExpr("s_suppkey AS place_id", "540000 + (s_suppkey * 6007) % 100000 AS qx", "116000 + (s_suppkey * 50021) % 64000 AS qy")
+    return scan.nearest(v.pts().selectExpr("pt_id", "easting AS px", "northing AS py"), places, 2000).where("place_id IS NOT NULL")
+
+
+# --- graph and audits -----------------------------------------------------------------------------------------------
+
+_REACH = "r(node) AS (SELECT CAST(1 AS BIGINT) UNION SELECT b FROM r JOIN sides ON a = node WHERE len >= 33 AND step <= 24)"
+
+
+@query(sql("edge sides", f"+ {_REACH} SELECT node FROM r", recursive=True))
+def reachable(v):
+    edges = v.edge().where("len >= 33 AND step <= 24")
+    return graph.reach(edges, v.spark.range(1, 2).withColumnRenamed("id", "node"))
+
+
+@query(sql("edge sides", """+ lost AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 3 = 0), e AS (SELECT a, b FROM sides WHERE len < 12 AND a % 3 = 0 AND b % 3 = 0 AND b IN (SELECT node FROM lost)),
+    c(node, root) AS (SELECT node, node FROM lost UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node) SELECT component, COUNT(*) AS sectors FROM (SELECT node, MIN(root) AS component FROM c GROUP BY node) GROUP BY component""", recursive=True))
+def pockets(v):
+    lost = v.table("customer").selectExpr("c_custkey AS node").where("node % 3 = 0")
+    edges = v.edge().where("len < 12 AND a % 3 = 0 AND b % 3 = 0").join(lost.withColumnRenamed("node", "b"), "b", "left_semi")
+    return graph.components(lost, edges.join(lost.withColumnRenamed("node", "a"), "a", "left_semi")).groupBy("component").agg(F.count("*").alias("sectors"))
+
+
+@query(sql("pts sectors edge sides", """+ t AS (SELECT sides.a AS sector, MAX(s.height) AS top FROM sides JOIN sectors s ON s.sector = sides.b GROUP BY sides.a), c AS (SELECT *, FLOOR(x / 128000.0) AS cx, FLOOR(y / 128000.0) AS cy FROM sectors),
+    m AS (SELECT sector, hs[len(hs) // 2 + 1] AS med FROM (SELECT p.sector, LIST(q.height ORDER BY q.height) AS hs FROM c p JOIN c q ON p.sector <> q.sector AND ABS(p.cx - q.cx) <= 1 AND ABS(p.cy - q.cy) <= 1 GROUP BY p.sector) WHERE len(hs) >= 8)
+    SELECT sector, rise FROM (SELECT sectors.sector, GREATEST(height - top, COALESCE(height - med, height - top)) AS rise FROM sectors JOIN t ON t.sector = sectors.sector LEFT JOIN m ON m.sector = sectors.sector) WHERE rise >= 64"""))
+def spires(v):
+    return audit.spires(v.sectors(), v.edge(), 128000, 64)
+
+
+@query(sql("pts sectors edge", """+ p AS (SELECT DISTINCT LEAST(a, b) AS a, GREATEST(a, b) AS b FROM edge WHERE a <> b), j AS (SELECT s.flat, LIST(ABS(s.height - t.height) ORDER BY ABS(s.height - t.height)) AS v FROM p JOIN sectors s ON s.sector = p.a JOIN sectors t ON t.sector = p.b WHERE s.flat = t.flat GROUP BY s.flat)
+    SELECT flat, CAST(len(v) AS BIGINT) AS joins, v[LEAST(len(v) - 1, CAST(FLOOR(len(v) * CAST(0.5 AS DOUBLE)) AS BIGINT)) + 1] AS p50, v[LEAST(len(v) - 1, CAST(FLOOR(len(v) * CAST(0.95 AS DOUBLE)) AS BIGINT)) + 1] AS p95, v[len(v)] AS most FROM j"""))
+def flatness(v):
+    return audit.joins_by_flat(v.sectors(), v.edge(), {"p50": 0.5, "p95": 0.95})
+
+
+@query("SELECT map, line, width, lines FROM (SELECT o_custkey % 25 AS map, o_orderkey AS line, o_orderkey % 100 AS width, COUNT(*) OVER (PARTITION BY o_custkey % 25) AS lines, ROW_NUMBER() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderkey % 100 DESC, o_orderkey) AS r FROM orders WHERE o_orderkey % 7 = 0) WHERE r <= 3")
+def one_sided_lines(v):
+    lines = v.table("orders").where("o_orderkey % 7 = 0").selectExpr("o_custkey % 25 AS map", "o_orderkey AS line", "o_orderkey % 100 AS width")
+    return audit.widest(lines, "map", "width", 3, "line").select("map", "line", "width", "lines")
+
+
+@query(sql("way_nodes segs", "SELECT way_id, COUNT(*) AS odd_vertices FROM (SELECT way_id, x, y FROM (SELECT way_id, x1 AS x, y1 AS y FROM segs UNION ALL SELECT way_id, x2, y2 FROM segs) GROUP BY way_id, x, y HAVING COUNT(*) % 2 = 1) GROUP BY way_id"))
+def open_sectors(v):
+    return audit.open_sectors(sequence.segments(v.way_nodes()), "way_id")
+
+
+@query(sql("pack_member", "SELECT member, sig, COUNT(*) AS n FROM pack_member WHERE pack <= 20 GROUP BY member, sig HAVING COUNT(*) >= (SELECT COUNT(DISTINCT pack) FROM pack_member WHERE pack <= 20) - 20"))
+def member_packs(v):
+    members = v.pack_member().where("pack <= 20")
+    packs = members.select("pack").distinct().agg(F.count("*").alias("packs"))
+    held = members.groupBy("member", "sig").agg(F.count("*").alias("n"))
+    return held.join(F.broadcast(packs), F.col("n") >= F.col("packs") - 20).select("member", "sig", "n")  # one row
+
+
+@query("SELECT l_returnflag AS member, l_linestatus AS sig, CAST(COUNT(DISTINCT l_suppkey) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2 HAVING COUNT(DISTINCT l_suppkey) = (SELECT COUNT(DISTINCT l_suppkey) FROM lineitem)")
+def common_members(v):
+    return rollup.common_members(v.table("lineitem").selectExpr("l_suppkey AS pack", "l_returnflag AS member", "l_linestatus AS sig"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS slug, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 10) UNION ALL SELECT CAST(s_nationkey AS BIGINT), MIN(s_name) FROM supplier WHERE s_suppkey <= 10 GROUP BY s_nationkey")
+def manifest_upsert(v):
+    old = v.table("nation").selectExpr("CAST(n_nationkey AS BIGINT) AS slug", "n_name AS name")
+    new = v.table("supplier").where("s_suppkey <= 10").groupBy(F.col("s_nationkey").cast("long").alias("slug")).agg(F.min("s_name").alias("name"))
+    return rollup.upsert(old, new, "slug")
+
+
+@query(sql("pts pt_tile district_tile", "SELECT district_id, ix, iy FROM district_tile d WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 25 = d.district_id AND o_orderkey % 125 + 675 = d.ix)"))
+def resume_plan(v):
+    done = v.table("orders").where("o_orderstatus = 'F'").selectExpr("o_custkey % 25 AS district_id", "o_orderkey % 125 + 675 AS ix")
+    return rollup.unfinished(v.district_tile(), done, ["district_id", "ix"])
+
+
+# --- telemetry and text ---------------------------------------------------------------------------------------------
+
+
+@query(sql("telemetry", "SELECT user_id, CAST(BIT_COUNT(BIT_OR(CAST(1 AS BIGINT) << CAST(ang // 45 AS INT))) AS INT) AS octants, COUNT(*) AS ticks FROM telemetry WHERE pushing AND slow GROUP BY user_id"))
+def octants_tried(v):
+    mask = F.bit_or(F.expr("shiftleft(1L, CAST(ang DIV 45 AS INT))"))
+    return v.telemetry().where("pushing AND slow").groupBy("user_id").agg(F.bit_count(mask).alias("octants"), F.count("*").alias("ticks"))
+
+
+@query(sql("telemetry", "SELECT user_id, event_id, CASE WHEN x < 96 THEN 'W' WHEN x >= 25504 THEN 'E' WHEN y < 96 THEN 'S' ELSE 'N' END AS direction, CASE WHEN x < 96 THEN 25408 WHEN x >= 25504 THEN 192 ELSE x END AS to_x, CASE WHEN x < 96 OR x >= 25504 THEN y WHEN y < 96 THEN 25408 ELSE 192 END AS to_y FROM telemetry WHERE x < 96 OR x >= 25504 OR y < 96 OR y >= 25504"))
+def edge_transitions(v):
+    return telemetry.transitions(v.telemetry(), 25600, 96).select("user_id", "event_id", "direction", "to_x", "to_y")
+
+
+@query()
+def stuck_reports(v):
+    """State machine by player; held to a plain loop in the tests."""
+    ticks = v.telemetry().withColumn("slow", F.lit(True))  # the events are too sparse for the game's own limits
+    return telemetry.stuck(ticks, limits=(4, 3, 6))
+
+
+@query("SELECT doc_id, SUBSTRING(SHA256(text), 1, 16) AS cache_key FROM documents")
+def cache_keys(v):
+    return v.table("documents").select("doc_id", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16).alias("cache_key"))
+
+
+@query(sql("pts", "SELECT district_id, CAST(ROW_NUMBER() OVER (PARTITION BY district_id ORDER BY pt_id) - 1 AS BIGINT) AS id, easting AS x, northing AS y FROM pts"))
+def text_maps(v):
+    """Points written as text maps by district, and read back by the place of each block."""
+    block = textmap.write_block("vertex", x=F.col("easting"), y=F.col("northing"), z=F.lit(None))
+    maps = v.pts().groupBy("district_id").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("pt_id", block.alias("t")))), lambda s: s["t"])).alias("text"))
+    return textmap.read_blocks(maps, "vertex").select("district_id", "id", F.col("fields")["x"].cast("long").alias("x"), F.col("fields")["y"].cast("long").alias("y"))
+
+
+@query("SELECT tile, event_id FROM (SELECT user_id % 10 AS tile, event_id, ROW_NUMBER() OVER (PARTITION BY user_id % 10 ORDER BY MD5(CAST(event_id AS VARCHAR)), event_id) AS r FROM events) WHERE r <= 90")
+def sampled_trees(v):
+    """A uniform sample of up to 90 a tile, the same in every run."""
+    w = W.partitionBy("tile").orderBy(F.md5(F.col("event_id").cast("string").cast("binary")), "event_id")
+    rows = v.table("events").select((F.col("user_id") % 10).alias("tile"), "event_id")
+    return rows.withColumn("r", F.row_number().over(w)).where("r <= 90").drop("r")
+
+
+@query("SELECT day, done, CAST(SUM(done) OVER (ORDER BY day) AS BIGINT) AS so_far FROM (SELECT STRFTIME(o_orderdate, '%Y-%m') AS day, COUNT(*) AS done FROM orders GROUP BY 1)")
+def progress_log(v):
+    days = v.table("orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("day")).agg(F.count("*").alias("done"))
+    return days.withColumn("so_far", F.sum("done").over(W.orderBy("day")))  # a row a month
