@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import grid, tags
-from tessella.operators import audit, graph, raster, rollup, scan, sequence, telemetry
+from tessella.operators import arrangement, audit, graph, raster, rollup, scan, sequence, telemetry
 from tessella.plans.views import Views, sql
 from tessella.sources import textmap
 
@@ -362,3 +362,20 @@ def sampled_trees(v):
 def progress_log(v):
     days = v.table("orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("day")).agg(F.count("*").alias("done"))
     return days.withColumn("so_far", F.sum("done").over(W.orderBy("day")))  # a row a month
+
+
+# --- arrangement ----------------------------------------------------------------------------------------------------
+
+_RECTANGLES = "SELECT o_custkey AS tile, o_orderkey AS spec, (o_orderkey * 37) % 200 AS x1, (o_orderkey * 91) % 200 AS y1, (o_orderkey * 37) % 200 + 10 + o_orderkey % 83 AS x2, (o_orderkey * 91) % 200 + 10 + o_orderkey % 71 AS y2 FROM orders"
+
+
+@query(f"""WITH r AS ({_RECTANGLES}), xs AS (SELECT tile, x, LEAD(x) OVER (PARTITION BY tile ORDER BY x) AS x2 FROM (SELECT tile, x1 AS x FROM r UNION SELECT tile, x2 FROM r)),
+    ys AS (SELECT tile, y, LEAD(y) OVER (PARTITION BY tile ORDER BY y) AS y2 FROM (SELECT tile, y1 AS y FROM r UNION SELECT tile, y2 FROM r)),
+    c AS (SELECT xs.tile, (xs.x2 - xs.x) * (ys.y2 - ys.y) AS a, MAX(r.spec) AS spec FROM xs JOIN ys ON ys.tile = xs.tile JOIN r ON r.tile = xs.tile AND r.x1 <= xs.x AND r.x2 >= xs.x2 AND r.y1 <= ys.y AND r.y2 >= ys.y2 GROUP BY xs.tile, xs.x, ys.y, xs.x2, ys.y2)
+    SELECT tile, spec, CAST(SUM(a) AS DOUBLE) AS area FROM c GROUP BY tile, spec""")
+def arrangement_areas(v):
+    """Area that each polygon of a tile still owns after the later ones are laid over it."""
+    boxes = v.table("orders").selectExpr("o_custkey AS tile", "o_orderkey AS spec", "(o_orderkey * 37) % 200 AS x1", "(o_orderkey * 91) % 200 AS y1", "(o_orderkey * 37) % 200 + 10 + o_orderkey % 83 AS x2", "(o_orderkey * 91) % 200 + 10 + o_orderkey % 71 AS y2")
+    corners = F.posexplode(F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])).alias("seq", "p")
+    rings = boxes.select("tile", "spec", corners).select("tile", "spec", "seq", "p.x", "p.y")
+    return arrangement.arrange(rings).where("spec IS NOT NULL").groupBy("tile", "spec").agg(F.sum("area").alias("area"))
