@@ -28,3 +28,12 @@ def crosses_ray(x1, y1, x2, y2, px, py) -> Column:
 def plane_height(a, b, c, d, x, y, level) -> Column:
     """Height of a sloped floor at a point; level floors have no plane."""
     return F.coalesce(-(a * x + b * y + d) / c, level)
+
+
+def plane_through(p, q, r) -> tuple[Column, Column, Column, Column]:
+    """a, b, c, d of ax + by + cz + d = 0 through three (x, y, z) corners, c upwards; c is zero where they lie on a line."""
+    ux, uy, uz = (q[i] - p[i] for i in range(3))
+    vx, vy, vz = (r[i] - p[i] for i in range(3))
+    a, b, c = uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx
+    up = F.when(c < 0, -1).otherwise(1)
+    return a * up, b * up, c * up, -(a * p[0] + b * p[1] + c * p[2]) * up

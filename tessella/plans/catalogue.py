@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.functions import grid, tags
+from tessella.functions import geometry, grid, tags
 from tessella.operators import arrangement, audit, graph, raster, rollup, scan, sequence, telemetry
 from tessella.plans.views import Views, sql
 from tessella.sources import textmap
@@ -379,3 +379,38 @@ def arrangement_areas(v):
     corners = F.posexplode(F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])).alias("seq", "p")
     rings = boxes.select("tile", "spec", corners).select("tile", "spec", "seq", "p.x", "p.y")
     return arrangement.arrange(rings).where("spec IS NOT NULL").groupBy("tile", "spec").agg(F.sum("area").alias("area"))
+
+
+# --- floors and text sinks ------------------------------------------------------------------------------------------
+
+_CORNERS = "SELECT way_id, MAX(x) FILTER (seq = 0) AS x0, MAX(y) FILTER (seq = 0) AS y0, MAX(x) FILTER (seq = 1) AS x1, MAX(y) FILTER (seq = 1) AS y1, MAX(x) FILTER (seq = 2) AS x2, MAX(y) FILTER (seq = 2) AS y2 FROM way_nodes WHERE seq < 3 GROUP BY way_id HAVING COUNT(*) = 3"
+
+
+@query(sql("way_nodes", f"""+ c AS (SELECT *, (x0 * 3 + y0) % 97 AS z0, (x1 * 3 + y1) % 97 AS z1, (x2 * 3 + y2) % 97 AS z2 FROM ({_CORNERS})),
+    n AS (SELECT *, (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) AS a, (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) AS b, (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) AS c FROM c)
+    SELECT way_id, a * s AS plane_a, b * s AS plane_b, c * s AS plane_c, -(a * x0 + b * y0 + c * z0) * s AS plane_d FROM (SELECT *, CASE WHEN c < 0 THEN -1 ELSE 1 END AS s FROM n) WHERE c <> 0"""))
+def floor_planes(v):
+    """Planes through the first three corners of each way; corners on one line have none."""
+    at = lambda c, k: F.max(F.when(F.col("seq") == k, F.col(c))).alias(f"{c}{k}")
+    corners = v.way_nodes().where("seq < 3").groupBy("way_id").agg(F.count("*").alias("n"), *[at(c, k) for c in "xy" for k in range(3)]).where("n = 3")
+    point = lambda k: (F.col(f"x{k}"), F.col(f"y{k}"), (F.col(f"x{k}") * 3 + F.col(f"y{k}")) % 97)
+    a, b, c, d = geometry.plane_through(point(0), point(1), point(2))
+    return corners.select("way_id", a.alias("plane_a"), b.alias("plane_b"), c.alias("plane_c"), d.alias("plane_d")).where("plane_c <> 0")
+
+
+@query(sql("way_nodes", "SELECT way_id, 'vertex { x = ' || PRINTF('%.3f', x / 32.0) || '; y = ' || PRINTF('%.3f', y / 32.0) || '; }' AS first_block FROM way_nodes WHERE seq = 0"))
+def vertex_text(v):
+    """First vertex of each way as a text block, in metres."""
+    metres = lambda c: textmap.fixed(F.col(c) / 32.0)
+    return v.way_nodes().where("seq = 0").select("way_id", textmap.write_block("vertex", x=metres("x"), y=metres("y"), z=F.lit(None)).alias("first_block"))
+
+
+@query(sql("telemetry", """SELECT event_id, step FROM (SELECT t.event_id, s.step, ROW_NUMBER() OVER (PARTITION BY t.event_id ORDER BY s.step DESC, s.ray) AS r FROM telemetry t,
+    (SELECT ray, step FROM (SELECT UNNEST(RANGE(8)) AS ray) a, (SELECT UNNEST(RANGE(1, 21)) AS step) b) s WHERE (t.x + t.y + s.ray * 7 + s.step * 13) % 11 <> 0) WHERE r = 1"""))
+def longest_view(v):
+    """The farthest open step of eight rays from each tick, the earliest ray on ties."""
+    rays = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")))
+    steps = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(20).cast("long")))
+    seen = v.telemetry().select("event_id", "x", "y").withColumn("ray", rays).withColumn("step", steps)
+    open_ = seen.where((F.col("x") + F.col("y") + F.col("ray") * 7 + F.col("step") * 13) % 11 != 0)
+    return open_.groupBy("event_id").agg(F.max_by("step", F.struct("step", -F.col("ray"))).alias("step"))

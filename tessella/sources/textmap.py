@@ -28,3 +28,8 @@ def write_block(kind: str, **values: Column) -> Column:
     """One block as text; null fields are left out."""
     parts = [F.concat(F.lit(f" {k} = "), v.cast("string"), F.lit(";")) for k, v in values.items()]
     return F.concat(F.lit(f"{kind} {{"), F.concat_ws("", *parts), F.lit(" }"))
+
+
+def fixed(value: Column, digits: int = 3) -> Column:
+    """Decimal text that rounds halves to even, as C's printf does; the JVM's own formatter rounds them up."""
+    return F.format_string(f"%.{digits}f", F.bround(value, digits))
