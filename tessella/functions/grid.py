@@ -93,3 +93,28 @@ def with_osgb(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     north = m + n0 + nu / 2 * sin * cos * dl**2 + nu / 24 * sin * cos**3 * (5 - tan2 + 9 * eta2) * dl**4 + nu / 720 * sin * cos**5 * (61 - 58 * tan2 + tan2 * tan2) * dl**6
     east = e0 + nu * cos * dl + nu / 6 * cos**3 * (nu / rho - tan2) * dl**3 + nu / 120 * cos**5 * (5 - 18 * tan2 + tan2 * tan2 + 14 * eta2 - 58 * tan2 * eta2) * dl**5
     return df.select(*kept, east.alias("easting"), north.alias("northing"))
+
+
+def bounds(points: list[tuple[Column, Column]]) -> tuple[Column, Column, Column, Column]:
+    """west, south, east, north of the corners: all of them count, as a turned box's extremes may lie at any."""
+    xs, ys = zip(*points)
+    return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
+
+
+def lump_name(prefix: str, index: Column, digits: int = 2) -> Column:
+    """Prefix and number from 1; raises beyond eight characters."""
+    number = (index + 1).cast("string")
+    name = F.concat(F.lit(prefix), F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number))
+    return F.when(F.length(name) <= 8, name).otherwise(F.raise_error(F.concat(F.lit("longer than eight characters: "), name)))
+
+
+def degrees_text(value: Column, positive: str, negative: str) -> Column:
+    """Five decimals and the hemisphere."""
+    return F.concat(F.format_string("%.5f", F.abs(value)), F.when(value >= 0, positive).otherwise(negative))
+
+
+def shade(value: Column, low: Column, span: Column) -> Column:
+    """Colour of a height: dark green below to pale above, as (r, g, b)."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((value - low) / F.nullif(span, F.lit(0.0)), F.lit(0.0))))
+    # The darkest colour, and the way to the palest.
+    return F.struct(*[(F.lit(float(a)) + share * b).cast("int").alias(k) for k, a, b in (("r", 46, 150), ("g", 74, 130), ("b", 46, 110))])

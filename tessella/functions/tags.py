@@ -87,3 +87,55 @@ def storeys(height: Column) -> Column:
 
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+# Facade keys by building class, those of houses in turn, the footprint and height that overrule them (metres), and a texture's height a storey.
+FACADES = {
+    "S": ["church", "cathedral", "chapel"],
+    "G": ["industrial", "warehouse", "commercial", "retail", "office", "garage", "garages", "shed", "hut", "hotel", "apartments", "train_station", "university", "supermarket", "civic", "public", "sports_hall", "stadium", "farm_auxiliary", "barn", "hospital"],
+    "H": ["greenhouse", "glasshouse"],
+    "R": ["school"],
+}
+DOMESTIC, BIG_M2, TALL_M = ("R", "Y", "R", "N", "Y"), 400.0, 20.0
+# Wall materials by building class.
+WALLS = {"stone": ["church", "cathedral", "chapel"], "grey": ["industrial", "warehouse", "commercial", "retail"], "dark": ["garage", "garages", "shed"]}
+WALL_SCALES = {"brick": 3.0, "grey": 3.0, "dark": 3.0, "stone": 2.0}
+# Heights that a measurement must lie between, and the least width of a barrier, in metres.
+MEASURED, LEAST_BARRIER = (2.0, 350.0), 0.25
+
+
+def _by_value(table: dict, value: Column) -> Column:
+    return lookup({v: k for k, values in table.items() for v in values}, value)
+
+
+def facade(building: Column, amenity: Column, historic: Column, osm_id: Column, height: Column, footprint: Column) -> Column:
+    """Key of a building's facade: its class, else a church's, else by size, else a house's in turn; tall ones have glass."""
+    kind = F.coalesce(building, F.lit("yes"))
+    worship = F.coalesce(amenity == "place_of_worship", F.lit(False)) | (F.coalesce(historic, F.lit("")) != "")
+    house = F.element_at(F.array(*[F.lit(k) for k in DOMESTIC]), (F.pmod(osm_id, F.lit(len(DOMESTIC))) + 1).cast("int"))
+    key = F.coalesce(_by_value(FACADES, kind), F.when(worship, "S"), F.when(kind.isin("yes", "") & (footprint >= BIG_M2), "G"), house)
+    return F.when((height >= TALL_M) & (key != "H"), "T").otherwise(key)
+
+
+def wall(building: Column, amenity: Column, historic: Column) -> Column:
+    worship = F.coalesce(amenity == "place_of_worship", F.lit(False)) | (F.coalesce(historic, F.lit("")) != "")
+    return F.coalesce(_by_value(WALLS, F.coalesce(building, F.lit("yes"))), F.when(worship, "stone"), F.lit("brick"))
+
+
+def wall_scale(material: Column) -> Column:
+    return F.coalesce(lookup(WALL_SCALES, material), F.lit(1.0))
+
+
+def barrier_size(barrier: Column) -> tuple[Column, Column]:
+    """Width (at least a quarter of a metre) and height; null for kinds that are not drawn."""
+    width_of, height_of = ({k: v[i] for k, v in BARRIERS.items()} for i in (0, 1))
+    return F.when(lookup(width_of, barrier).isNotNull(), F.greatest(lookup(width_of, barrier), F.lit(LEAST_BARRIER))), lookup(height_of, barrier)
+
+
+def accepted_height(measured: Column, tagged: Column) -> Column:
+    """The measurement where it can be a building's, else what the tags say."""
+    return F.when(measured.between(*MEASURED), measured).otherwise(tagged)
+
+
+def is_bridge(bridge: Column) -> Column:
+    return ~F.coalesce(bridge, F.lit("no")).isin("no", "")

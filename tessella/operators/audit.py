@@ -57,3 +57,28 @@ def open_sectors(edges: DataFrame, sector: str) -> DataFrame:
     ends = edges.select(sector, F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("v"))
     odd = ends.groupBy(sector, "v").count().where("count % 2 = 1")
     return odd.groupBy(sector).agg(F.count("*").alias("odd_vertices"))
+
+
+def suspect_pockets(members: DataFrame, borders: DataFrame, ground: list[str], share: float = 0.75, least: float = 20.0) -> DataFrame:
+    """Pockets of more than `least` area whose border is ground by more than `share`, largest first.
+
+    members: sector, component, area; borders: a, b, texture of the sector b beyond each edge.
+    """
+    area = members.groupBy("component").agg(F.sum("area").alias("area"), F.count("*").alias("sectors")).where(F.col("area") > least)
+    around = both_ways_within(members, borders).groupBy("component").agg(F.count("*").alias("edges"), F.count_if(F.col("texture").isin(ground)).alias("ground_edges"))
+    return area.join(around, "component").where(F.col("ground_edges") > share * F.col("edges")).select("component", "sectors", "area", "edges", "ground_edges")
+
+
+def both_ways_within(members: DataFrame, borders: DataFrame) -> DataFrame:
+    """Edges that lead out of a component: component, b, texture."""
+    own = members.select(F.col("sector").alias("a"), "component")
+    beyond = members.select(F.col("sector").alias("b"), F.col("component").alias("_other"))
+    return borders.join(own, "a").join(beyond, "b", "left").where("_other IS NULL OR _other <> component").select("component", "b", "texture")
+
+
+def walk_phases(ticks: DataFrame, by: str, length: int) -> DataFrame:
+    """Distance between the first and last place of each phase of `length` ticks. ticks: by, tick, x, y."""
+    phased = ticks.withColumn("phase", F.floor(F.col("tick") / length).cast("long"))
+    at = F.struct("x", "y")
+    ends = phased.groupBy(by, "phase").agg(F.min_by(at, "tick").alias("p"), F.max_by(at, "tick").alias("q"), F.count("*").alias("ticks"))
+    return ends.select(by, "phase", "ticks", F.hypot(F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")).alias("moved"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -29,3 +30,37 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def unfinished(plan: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
     """What a resumed run still has to do."""
     return plan.join(done.select(*on).distinct(), on, "left_anti")
+
+
+def pack_plan(plan: DataFrame, artifacts: DataFrame, by: str) -> DataFrame:
+    """Plan rows (by, place, tile) with outcome and, for built ones, their number in the pack without gaps; tiles without an artifact are missing."""
+    joined = plan.join(artifacts.select(by, "tile", "outcome"), [by, "tile"], "left").withColumn("outcome", F.coalesce("outcome", F.lit("missing")))
+    built = F.col("outcome") == "built"
+    number = F.sum(built.cast("long")).over(W.partitionBy(by).orderBy("place"))
+    return joined.withColumn("number", F.when(built, number - 1))
+
+
+def region_summary(tiles: DataFrame, by: str) -> DataFrame:
+    """Built tiles, sectors and lines of a region, its skipped tiles, and its largest tile by bytes (first id on ties)."""
+    built = F.col("outcome") == "built"
+    return tiles.groupBy(by).agg(
+        F.count_if(built).alias("tiles"), F.coalesce(F.sum(F.when(built, F.col("sectors"))), F.lit(0)).alias("sectors"), F.coalesce(F.sum(F.when(built, F.col("lines"))), F.lit(0)).alias("lines"),
+        F.count_if(F.col("outcome") == "skipped").alias("skipped"), F.max_by("tile", F.struct("bytes", -F.col("tile"))).alias("largest"),
+    )
+
+
+def append_log(rows: DataFrame, folder: str) -> None:
+    """Progress rows as JSON, one a line; earlier ones stay."""
+    rows.write.mode("append").json(folder)
+
+
+def read_meta(texts: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """texts with done and meta: text that is missing or broken is not done."""
+    meta = F.from_json(column, f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    parsed = texts.withColumn("meta", meta)
+    return parsed.withColumn("done", F.col("meta").isNotNull() & F.col("meta._broken").isNull())
+
+
+def uncovered(wanted: DataFrame, held: DataFrame, on: list[str]) -> DataFrame:
+    """What is wanted and not held; a scan is allowed if this is empty."""
+    return wanted.join(held.select(*on).distinct(), on, "left_anti")

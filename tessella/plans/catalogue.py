@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry, grid, tags
-from tessella.operators import arrangement, audit, graph, raster, rollup, scan, sequence, telemetry
+from tessella.operators import arrangement, audit, faces, graph, placement, polygons, raster, rollup, scan, sequence, telemetry, vegetation
 from tessella.plans.views import Views, sql
-from tessella.sources import textmap
+from tessella.sources import archives, elements, textmap
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -414,3 +414,216 @@ def longest_view(v):
     seen = v.telemetry().select("event_id", "x", "y").withColumn("ray", rays).withColumn("step", steps)
     open_ = seen.where((F.col("x") + F.col("y") + F.col("ray") * 7 + F.col("step") * 13) % 11 != 0)
     return open_.groupBy("event_id").agg(F.max_by("step", F.struct("step", -F.col("ray"))).alias("step"))
+
+
+# --- polygons -------------------------------------------------------------------------------------------------------
+
+_BOXED = "SELECT o_orderkey AS spec, (o_orderkey * 37) % 200 AS x1, (o_orderkey * 91) % 200 AS y1, (o_orderkey * 37) % 200 + 10 + o_orderkey % 83 AS x2, (o_orderkey * 91) % 200 + 10 + o_orderkey % 71 AS y2 FROM orders"
+
+
+def _outlines(v, corners: tuple) -> DataFrame:
+    boxes = v.table("orders").selectExpr("o_orderkey AS spec", "(o_orderkey * 37) % 200 AS x1", "(o_orderkey * 91) % 200 AS y1", "(o_orderkey * 37) % 200 + 10 + o_orderkey % 83 AS x2", "(o_orderkey * 91) % 200 + 10 + o_orderkey % 71 AS y2")
+    return boxes.select("spec", F.array(*[F.struct(F.expr(f"CAST({x} AS DOUBLE)").alias("x"), F.expr(f"CAST({y} AS DOUBLE)").alias("y")) for x, y in corners]).alias("points"))
+
+
+_BOX = (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))
+
+
+@query(f"WITH b AS ({_BOXED}) SELECT spec, CAST((LEAST(x2, 150) - GREATEST(x1, 50)) * (LEAST(y2, 150) - GREATEST(y1, 50)) AS DOUBLE) AS area FROM b WHERE x1 < 150 AND x2 > 50 AND y1 < 150 AND y2 > 50")
+def clipped_areas(v):
+    """Rectangles clipped to a tile; those outside drop out."""
+    parts = polygons.clean(_outlines(v, _BOX), (50, 50, 150, 150), 0.4)
+    return parts.select("spec", polygons.parts_area(F.col("parts")).alias("area"))
+
+
+@query(f"WITH b AS ({_BOXED}) SELECT spec, CAST(4 AS BIGINT) AS triangles, (x2 - x1) * (y2 - y1) * 0.75 AS area FROM b")
+def triangle_areas(v):
+    """L-shaped outlines cut into triangles."""
+    corners = (("x1", "y1"), ("x2", "y1"), ("x2", "(y1 + y2) / 2"), ("(x1 + x2) / 2", "(y1 + y2) / 2"), ("(x1 + x2) / 2", "y2"), ("x1", "y2"))
+    parts = polygons.triangulated(_outlines(v, corners))
+    return parts.select("spec", F.size("parts").cast("long").alias("triangles"), polygons.parts_area(F.col("parts")).alias("area"))
+
+
+@query(f"WITH b AS ({_BOXED}) SELECT spec, ROUND(CAST(((x2 - x1) + (y2 - y1)) * 7 AS DOUBLE), 4) AS area FROM b")
+def corridor_areas(v):
+    """Roads of seven metres around one corner: the mitre makes up for what the inner side loses."""
+    lines = _outlines(v, (("x1", "y1"), ("x2", "y1"), ("x2", "y2"))).withColumn("half", F.lit(3.5))
+    return polygons.corridors(lines, "half").select("spec", F.round(polygons.parts_area(F.col("parts")), 4).alias("area"))
+
+
+@query(sql("way_nodes segs", """SELECT way_id, COUNT(*) AS pieces, CAST(ROUND(SUM(t1 - t0), 6) AS DOUBLE) AS shares FROM (SELECT way_id, GREATEST(CAST(0 AS DOUBLE), LEAST((4000 - x1) / CAST(x2 - x1 AS DOUBLE), (9000 - x1) / CAST(x2 - x1 AS DOUBLE)), LEAST((4000 - y1) / CAST(y2 - y1 AS DOUBLE), (9000 - y1) / CAST(y2 - y1 AS DOUBLE))) AS t0,
+    LEAST(CAST(1 AS DOUBLE), GREATEST((4000 - x1) / CAST(x2 - x1 AS DOUBLE), (9000 - x1) / CAST(x2 - x1 AS DOUBLE)), GREATEST((4000 - y1) / CAST(y2 - y1 AS DOUBLE), (9000 - y1) / CAST(y2 - y1 AS DOUBLE))) AS t1 FROM segs WHERE x1 <> x2 AND y1 <> y2) WHERE t0 < t1 GROUP BY way_id"""))
+def clipped_lines(v):
+    """Segments of ways inside a tile: how many, and the sum of the shares that are inside."""
+    segs = sequence.segments(v.way_nodes()).where("x1 <> x2 AND y1 <> y2")
+    point = lambda k: F.struct(F.col(f"x{k}").cast("double").alias("x"), F.col(f"y{k}").cast("double").alias("y"))
+    inside = polygons.clip_lines(segs.select("way_id", "x1", "x2", F.array(point(1), point(2)).alias("points")), (4000, 4000, 9000, 9000)).where("size(parts) > 0")
+    part = F.col("parts")[0]
+    return inside.groupBy("way_id").agg(F.count("*").alias("pieces"), F.round(F.sum((part[1]["x"] - part[0]["x"]) / (F.col("x2") - F.col("x1"))), 6).alias("shares"))
+
+
+# --- faces ----------------------------------------------------------------------------------------------------------
+
+_USES = "SELECT o_custkey % 40 AS tile, o_orderkey AS ord, o_custkey AS face, o_orderkey % 30 AS x1, o_orderkey % 7 * 10 AS y1, o_orderkey // 30 % 30 AS x2, o_orderkey // 7 % 7 * 10 AS y2 FROM orders"
+_EDGES = f"uses AS ({_USES}), e AS (SELECT *, CASE WHEN x1 < x2 OR (x1 = x2 AND y1 < y2) THEN x1 * 1000 + y1 ELSE x2 * 1000 + y2 END AS p, CASE WHEN x1 < x2 OR (x1 = x2 AND y1 < y2) THEN x2 * 1000 + y2 ELSE x1 * 1000 + y1 END AS q FROM uses WHERE NOT (x1 = x2 AND y1 = y2))"
+
+
+def _uses(v) -> DataFrame:
+    return v.table("orders").selectExpr("o_custkey % 40 AS tile", "o_orderkey AS ord", "o_custkey AS face", "o_orderkey % 30 AS x1", "o_orderkey % 7 * 10 AS y1", "o_orderkey DIV 30 % 30 AS x2", "o_orderkey DIV 7 % 7 * 10 AS y2")
+
+
+@query(f"""WITH {_EDGES}, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY tile, p, q ORDER BY ord) AS n FROM e), t AS (SELECT tile, p, q, MAX(face) FILTER (n = 1) AS front, MAX(face) FILTER (n = 2) AS back FROM r GROUP BY tile, p, q)
+    SELECT tile, p, q, front, back, CASE WHEN back IS NULL THEN front % 5 END AS middle, CASE WHEN back IS NOT NULL THEN CASE WHEN front % 64 >= back % 64 THEN front % 5 ELSE back % 5 END END AS bottom,
+    CASE WHEN back IS NOT NULL THEN CASE WHEN front % 9 <= back % 9 THEN front % 5 ELSE back % 5 END END AS top, back IS NULL AS blocking,
+    CASE WHEN back IS NULL AND ((p // 1000 <= 1 AND q // 1000 <= 1) OR (p // 1000 >= 28 AND q // 1000 >= 28) OR (p % 1000 = 0 AND q % 1000 = 0) OR (p % 1000 = 60 AND q % 1000 = 60)) THEN 9 END AS special
+    FROM t WHERE back IS NULL OR back <> front""")
+def line_sides(v):
+    """Lines between faces, with the textures of their sides."""
+    specs = v.table("customer").selectExpr("c_custkey % 40 AS tile", "c_custkey AS face", "c_custkey % 64 AS floor", "c_custkey % 9 AS ceiling", "c_custkey % 5 AS wall")
+    packed = lambda c: (F.col(f"{c}.x") * 1000 + F.col(f"{c}.y")).alias(c)
+    return faces.lines(_uses(v), specs, (0, 0, 29, 60)).select("tile", packed("p"), packed("q"), "front", "back", "middle", "bottom", "top", "blocking", "special")
+
+
+@query(f"""WITH {_EDGES}, t AS (SELECT tile, p, q, MIN(face) AS a, MAX(face) AS b FROM e GROUP BY tile, p, q HAVING COUNT(*) = 2 AND MIN(face) <> MAX(face))
+    SELECT tile, a, b, ROUND(SUM(SQRT(CAST((p // 1000 - q // 1000) * (p // 1000 - q // 1000) + (p % 1000 - q % 1000) * (p % 1000 - q % 1000) AS DOUBLE))), 6) AS length FROM t GROUP BY tile, a, b""")
+def shared_boundaries(v):
+    return faces.shared_lengths(_uses(v)).withColumn("length", F.round("length", 6))
+
+
+@query(f"""WITH uses AS ({_USES}), ends AS (SELECT tile, x, y, MIN(u) AS u FROM (SELECT tile, x1 AS x, y1 AS y, ord * 2 AS u FROM uses UNION ALL SELECT tile, x2, y2, ord * 2 + 1 FROM uses) GROUP BY tile, x, y)
+    SELECT tile, x, y, CAST(ROW_NUMBER() OVER (PARTITION BY tile ORDER BY u) - 1 AS BIGINT) AS vertex FROM ends""")
+def vertex_numbers(v):
+    return faces.numbered(_uses(v))
+
+
+# --- regions of rasters ---------------------------------------------------------------------------------------------
+
+_CANOPY = "k AS (SELECT tile_no, prow * 40 + pcol AS id, prow, pcol, CAST(dsm - dtm AS DOUBLE) AS tall FROM pixel WHERE dsm - dtm BETWEEN 3 AND 28 AND (prow + pcol) % 3 <> 0)"
+
+
+@query(sql("pixel", f"""+ {_CANOPY}, e AS (SELECT a.tile_no, a.id AS a, b.id AS b FROM k a JOIN k b ON a.tile_no = b.tile_no AND ABS(a.prow - b.prow) + ABS(a.pcol - b.pcol) = 1),
+    c(tile_no, id, root) AS (SELECT tile_no, id, id FROM k UNION SELECT c.tile_no, e.b, c.root FROM c JOIN e ON e.tile_no = c.tile_no AND e.a = c.id),
+    m AS (SELECT tile_no, id, MIN(root) AS root FROM c GROUP BY tile_no, id), s AS (SELECT m.tile_no, root, COUNT(*) AS cells, ROUND(QUANTILE_CONT(tall, 0.9), 4) AS height FROM m JOIN k ON k.tile_no = m.tile_no AND k.id = m.id GROUP BY m.tile_no, root)
+    SELECT tile_no, cells, height, COUNT(*) AS patches FROM s WHERE cells >= 2 GROUP BY tile_no, cells, height""", recursive=True))
+def canopy_patches(v):
+    """Connected canopy away from a net of blocked cells."""
+    blocked = v.pixel().where("(prow + pcol) % 3 = 0")
+    found = vegetation.patches(v.pixel(), blocked, 1.0, 2)
+    return found.groupBy("tile_no", "cells", F.round("height", 4).alias("height")).agg(F.count("*").alias("patches"))
+
+
+# --- placement ------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT s_suppkey AS pt_id, (s_suppkey * 7001) % 12800 AS x, (s_suppkey * 3373) % 12800 AS y FROM supplier), d AS (SELECT * FROM (VALUES (1, 1, 0), (2, 0, 1), (3, -1, 0), (4, 0, -1), (5, 1, 1), (6, -1, 1), (7, 1, -1), (8, -1, -1)) t(k, dx, dy)),
+    s AS (SELECT 0 AS try, 0 AS dx, 0 AS dy UNION ALL SELECT (r - 1) * 8 + k, dx * r * 96, dy * r * 96 FROM d, (SELECT UNNEST(RANGE(1, 30)) AS r)),
+    t AS (SELECT pt_id, try, x + dx AS to_x, y + dy AS to_y, ROW_NUMBER() OVER (PARTITION BY pt_id ORDER BY try) AS n FROM p, s WHERE x + dx BETWEEN 96 AND 12704 AND y + dy BETWEEN 96 AND 12704 AND (x + dx) % 7 = 3 AND (y + dy) % 5 = 1)
+    SELECT pt_id, CAST(try AS BIGINT) AS try, CAST(to_x AS DOUBLE) AS to_x, CAST(to_y AS DOUBLE) AS to_y FROM t WHERE n = 1""")
+def start_places(v):
+    """The first clear place around each start."""
+    points = v.table("supplier").selectExpr("s_suppkey AS pt_id", "(s_suppkey * 7001) % 12800 AS x", "(s_suppkey * 3373) % 12800 AS y")
+    within = F.col("to_x").between(96, 12704) & F.col("to_y").between(96, 12704)
+    return placement.first_clear(placement.spiral(points), "pt_id", within & (F.col("to_x") % 7 == 3) & (F.col("to_y") % 5 == 1))
+
+
+@query(sql("pts sectors edge", """+ n AS (SELECT COUNT(*) AS n FROM pts), l AS (SELECT sector, x, y, x + 4000 - sector % 9 * 1000 AS x2, y + 4000 - sector % 7 * 1000 AS y2, CASE WHEN sector % 4 <> 0 THEN sector % 48 END AS rise, sector % 10 = 0 AS blocking FROM sectors),
+    p AS (SELECT s_suppkey AS pt_id, (540000 + (s_suppkey * 7919) % 100000) * 32 + 900 AS px, (116000 + (s_suppkey * 104729) % 64000) * 32 - 500 AS py FROM supplier),
+    h AS (SELECT *, CAST(x2 - x AS DOUBLE) AS dx, CAST(y2 - y AS DOUBLE) AS dy FROM l WHERE rise IS NULL OR rise > 24 OR blocking),
+    d AS (SELECT pt_id, px, py, x, y, dx, dy, COALESCE(GREATEST(CAST(0 AS DOUBLE), LEAST(CAST(1 AS DOUBLE), ((px - x) * dx + (py - y) * dy) / NULLIF(dx * dx + dy * dy, 0))), 0) AS t FROM p JOIN h ON ABS(px - x) < 9000 AND ABS(py - y) < 9000)
+    SELECT pt_id, (SELECT COUNT(*) FROM sectors s WHERE (px - s.x) * (px - s.x) + (py - s.y) * (py - s.y) < 64000000) AS things, (SELECT COUNT(*) FROM d WHERE d.pt_id = p.pt_id AND (d.px - x - t * dx) * (d.px - x - t * dx) + (d.py - y - t * dy) * (d.py - y - t * dy) <= 4000000) AS lines FROM p"""))
+def point_diagnosis(v):
+    """What may block each point: things in reach, and lines that cannot be stepped over."""
+    points = v.table("supplier").selectExpr("s_suppkey AS pt_id", "(540000 + (s_suppkey * 7919) % 100000) * 32 + 900 AS px", "(116000 + (s_suppkey * 104729) % 64000) * 32 - 500 AS py")
+    lines = v.sectors().selectExpr("x AS x1", "y AS y1", "x + 4000 - sector % 9 * 1000 AS x2", "y + 4000 - sector % 7 * 1000 AS y2", "CASE WHEN sector % 4 <> 0 THEN sector % 48 END AS rise", "sector % 10 = 0 AS blocking")
+    return placement.diagnose(points, v.sectors().select("x", "y"), lines, 8000, 2000, 24, 16000)
+
+
+@query(sql("telemetry", "SELECT event_id, CAST(code * 131072 + z + 65536 AS BIGINT) AS handed, code AS back_code FROM (SELECT event_id, (event_id % 2000) - 1000 AS z, CAST(CASE WHEN x < 96 THEN 1 WHEN x >= 25504 THEN 2 WHEN y < 96 THEN 3 WHEN y >= 25504 THEN 4 END AS BIGINT) AS code FROM telemetry) WHERE code IS NOT NULL"))
+def hand_overs(v):
+    rows = telemetry.transitions(v.telemetry(), 25600, 96).withColumn("handed", placement.hand_over(F.col("direction"), F.expr("event_id % 2000 - 1000")))
+    back, z = placement.handed_over(F.col("handed"))
+    code = F.expr("CASE d WHEN 'W' THEN 1L WHEN 'E' THEN 2L WHEN 'S' THEN 3L WHEN 'N' THEN 4L END")
+    return rows.select("event_id", "handed", back.alias("d"), z.alias("z")).where("z = event_id % 2000 - 1000").select("event_id", "handed", code.alias("back_code"))
+
+
+@query(sql("telemetry", """SELECT user_id, phase, COUNT(*) AS ticks, ROUND(SQRT(CAST((MAX(lx) - MAX(fx)) * (MAX(lx) - MAX(fx)) + (MAX(ly) - MAX(fy)) * (MAX(ly) - MAX(fy)) AS DOUBLE)), 4) AS moved FROM (SELECT user_id, event_id // 35 AS phase, FIRST_VALUE(x) OVER w AS fx, FIRST_VALUE(y) OVER w AS fy, LAST_VALUE(x) OVER w AS lx, LAST_VALUE(y) OVER w AS ly
+    FROM telemetry WINDOW w AS (PARTITION BY user_id, event_id // 35 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY user_id, phase"""))
+def walk_phases(v):
+    moved = audit.walk_phases(v.telemetry().withColumnRenamed("event_id", "tick"), "user_id", 35)
+    return moved.withColumn("moved", F.round("moved", 4))
+
+
+# --- buildings, barriers, colours -----------------------------------------------------------------------------------
+
+
+@query(sql("ways", """SELECT osm_id, CASE WHEN h >= 20 THEN 'T' WHEN building IS NULL AND osm_id % 900 >= 400 THEN 'G' ELSE CASE osm_id % 5 WHEN 1 THEN 'Y' WHEN 3 THEN 'N' WHEN 4 THEN 'Y' ELSE 'R' END END AS facade, 'brick' AS wall, CAST(3 AS DOUBLE) AS scale
+    FROM (SELECT *, CASE WHEN osm_id % 40 BETWEEN 2 AND 350 THEN CAST(osm_id % 40 AS DOUBLE) ELSE CAST(7 AS DOUBLE) END AS h FROM ways)"""))
+def facades(v):
+    none = F.lit(None).cast("string")
+    height = tags.accepted_height((F.col("osm_id") % 40).cast("double"), F.lit(7.0))
+    wall = tags.wall(F.col("building"), none, none)
+    return v.ways().select("osm_id", tags.facade(F.col("building"), none, none, F.col("osm_id"), height, (F.col("osm_id") % 900).cast("double")).alias("facade"), wall.alias("wall"), tags.wall_scale(wall).alias("scale"))
+
+
+@query(sql("ways", "SELECT osm_id, CAST(0.9 AS DOUBLE) AS width_m, CAST(1.7 AS DOUBLE) AS height_m FROM ways WHERE barrier IS NOT NULL"))
+def barrier_sizes(v):
+    width, height = tags.barrier_size(F.col("barrier"))
+    return v.ways().select("osm_id", width.alias("width_m"), height.alias("height_m")).where("width_m IS NOT NULL")
+
+
+@query(sql("pts sectors", "SELECT sector, CAST(TRUNC(46 + f * 150) AS INT) AS r, CAST(TRUNC(74 + f * 130) AS INT) AS g, CAST(TRUNC(46 + f * 110) AS INT) AS b FROM (SELECT sector, GREATEST(CAST(0 AS DOUBLE), LEAST(CAST(1 AS DOUBLE), height / CAST(256 AS DOUBLE))) AS f FROM sectors)"))
+def height_colours(v):
+    return v.sectors().select("sector", grid.shade(F.col("height").cast("double"), F.lit(0.0), F.lit(256.0)).alias("c")).select("sector", "c.r", "c.g", "c.b")
+
+
+# --- sources and sinks ----------------------------------------------------------------------------------------------
+
+
+@query(sql("way_nodes", "SELECT way_id AS osm_id, COUNT(*) AS points, MIN(x) FILTER (seq = 0) / CAST(1000 AS DOUBLE) AS first_lon, MIN(x) FILTER (seq = 0) = ARG_MAX(x, seq) AND MIN(y) FILTER (seq = 0) = ARG_MAX(y, seq) AS closed FROM way_nodes GROUP BY way_id HAVING COUNT(*) >= 2"))
+def json_elements(v):
+    """Ways written as JSON answers and read back; ways of one point drop out."""
+    geometry_ = F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct((p["y"] / 1000.0).alias("lat"), (p["x"] / 1000.0).alias("lon")))
+    ways = v.way_nodes().groupBy("way_id").agg(geometry_.alias("geometry"))
+    texts = ways.select(F.to_json(F.struct(F.array(F.struct(F.lit("way").alias("type"), F.col("way_id").alias("id"), F.create_map(F.lit("highway"), F.lit("path")).alias("tags"), "geometry")).alias("elements"))).alias("value"))
+    read = elements.read_elements(texts).where(elements.matches(F.col("tags"), ['way["highway"]']))
+    return read.select("osm_id", F.size("coords").cast("long").alias("points"), F.element_at("coords", 1)["lon"].alias("first_lon"), "closed")
+
+
+@query(sql("pts", """SELECT CASE place WHEN 0 THEN 'MAP' || LPAD(CAST(district_id + 1 AS VARCHAR), 2, '0') WHEN 1 THEN 'TEXTMAP' ELSE 'ENDMAP' END AS name, district_id, place, CASE WHEN place = 1 THEN n ELSE 0 END AS size
+    FROM (SELECT district_id, CAST(SUM(LENGTH(CAST(pt_id AS VARCHAR)) + 1) - 1 AS BIGINT) AS n FROM pts GROUP BY district_id), (SELECT UNNEST(RANGE(3)) AS place)"""))
+def archive_lumps(v):
+    """Map archives, one a district, and the directory that is read from them."""
+    texts = v.pts().groupBy("district_id").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list("pt_id")), lambda p: p.cast("string"))).alias("text"))
+    maps = texts.select("district_id", grid.map_name(F.col("district_id"), F.lit(25)).alias("map_name"), "text")
+    return archives.read_lumps(archives.map_archives(maps, "district_id"), "district_id").select("district_id", "place", "name", "size")
+
+
+@query("""SELECT o_custkey % 40 AS region, COUNT(*) FILTER (o_orderstatus = 'F') AS tiles, CAST(COALESCE(SUM(o_orderkey % 97) FILTER (o_orderstatus = 'F'), 0) AS BIGINT) AS sectors, CAST(COALESCE(SUM(o_orderkey % 89) FILTER (o_orderstatus = 'F'), 0) AS BIGINT) AS lines,
+    COUNT(*) FILTER (o_orderstatus = 'P') AS skipped, ARG_MAX(o_orderkey, o_orderkey % 1000 * 100000000 - o_orderkey) AS largest FROM orders GROUP BY 1""")
+def region_summary(v):
+    tiles = v.table("orders").selectExpr("o_custkey % 40 AS region", "o_orderkey AS tile", "CASE o_orderstatus WHEN 'F' THEN 'built' WHEN 'P' THEN 'skipped' ELSE 'failed' END AS outcome", "o_orderkey % 97 AS sectors", "o_orderkey % 89 AS lines", "o_orderkey % 1000 AS bytes")
+    return rollup.region_summary(tiles, "region")
+
+
+@query("""SELECT region, tile, COALESCE(outcome, 'missing') AS outcome, CASE WHEN outcome = 'built' THEN CAST(COUNT(*) FILTER (outcome = 'built') OVER (PARTITION BY region ORDER BY tile) - 1 AS BIGINT) END AS number
+    FROM (SELECT c_custkey % 25 AS region, c_custkey AS tile, CASE WHEN c_custkey % 3 = 0 THEN 'built' WHEN c_custkey % 3 = 1 THEN 'skipped' END AS outcome FROM customer)""")
+def pack_plan(v):
+    plan = v.table("customer").selectExpr("c_custkey % 25 AS region", "c_custkey AS place", "c_custkey AS tile")
+    artifacts = v.table("customer").where("c_custkey % 3 < 2").selectExpr("c_custkey % 25 AS region", "c_custkey AS tile", "CASE c_custkey % 3 WHEN 0 THEN 'built' ELSE 'skipped' END AS outcome")
+    return rollup.pack_plan(plan, artifacts, "region").select("region", "tile", "outcome", "number")
+
+
+@query(sql("pts pt_tile", "SELECT place_id, CASE WHEN s_suppkey IS NOT NULL THEN CAST(s_nationkey AS BIGINT) END AS district FROM (SELECT pt_id AS place_id FROM pts) LEFT JOIN supplier ON s_suppkey = place_id"))
+def place_look_up(v):
+    """Places by a key that is trimmed and upper-cased on both sides; unknown keys have none."""
+    keys = v.pts().select(F.col("pt_id").alias("place_id"), F.concat(F.lit(" ct"), F.col("pt_id").cast("string"), F.lit(" ")).alias("postcode"))
+    places = v.table("supplier").select(F.concat(F.lit("CT"), F.col("s_suppkey").cast("string")).alias("postcode"), F.col("s_nationkey").cast("long").alias("district"))
+    return elements.look_up(keys, places, "postcode").select("place_id", "district")
+
+
+@query(sql("pts", """+ q AS (SELECT pt_id AS query_id, CAST(UNNEST(RANGE(easting // 5000, (easting + 799) // 5000 + 1)) AS BIGINT) AS cell FROM pts) SELECT pt_id AS query_id, COUNT(*) AS cells, COUNT(*) = COUNT(*) FILTER (cell % 4 <> 0) AS complete FROM pts JOIN q ON query_id = pt_id GROUP BY 1"""))
+def mosaics(v):
+    """Rasters made of all their squares, or not at all."""
+    cells = v.pts().select(F.col("pt_id").alias("query_id"), F.explode(grid.cells(F.col("easting"), F.col("easting") + 800, 5000)).alias("c")).select("query_id", (F.col("c") / 5000).cast("long").alias("cell"))
+    present = v.spark.range(100, 140).withColumnRenamed("id", "cell").where("cell % 4 <> 0")
+    return elements.mosaic(v.pts().select(F.col("pt_id").alias("query_id")), cells, present)
