@@ -28,6 +28,8 @@ SHINGLE, SEED, MOST_BITS = 4, 42, 4
 SEGMENT_BYTES = 1 << 20
 #: Rows of a cell that one task compares with each other; larger cells are split into pairs of blocks.
 CELL = 256
+#: Fingerprints whose cells one task writes.
+SPREAD = 50_000
 _BLOCKS = 8
 
 _LANES = np.zeros(256, np.uint64)
@@ -209,7 +211,8 @@ def near_links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
 
     fps: distinct column fp (long).
     """
-    cells = written(fps.select("fp").mapInArrow(_cells(most), "cell long, fp long"), "cells")
+    tasks = max(1, -(-fps.count() // SPREAD))  # a small table of fingerprints lies in few files, but each gives 70 rows
+    cells = written(fps.select("fp").repartition(tasks, "fp").mapInArrow(_cells(most), "cell long, fp long"), "cells")
     counts = cells.groupBy("cell").count().where("count > 1")
     rows = cells.join(counts, "cell")
     n = F.ceil(F.col("count") / F.lit(CELL)).cast("int")
