@@ -261,8 +261,9 @@ def reachable(v):
 @query(sql("edge sides", """+ lost AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 3 = 0), e AS (SELECT a, b FROM sides WHERE len < 12 AND a % 3 = 0 AND b % 3 = 0 AND b IN (SELECT node FROM lost)),
     c(node, root) AS (SELECT node, node FROM lost UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node) SELECT component, COUNT(*) AS sectors FROM (SELECT node, MIN(root) AS component FROM c GROUP BY node) GROUP BY component""", recursive=True))
 def pockets(v):
-    lost = v.table("customer").selectExpr("c_custkey AS node").where("node % 3 = 0")
-    edges = v.edge().where("len < 12 AND a % 3 = 0 AND b % 3 = 0").join(lost.withColumnRenamed("node", "b"), "b", "left_semi")
+    """Components of the sectors that reachable() does not find, over every edge between them."""
+    lost = v.table("customer").selectExpr("c_custkey AS node").join(reachable(v), "node", "left_anti")
+    edges = v.edge().join(lost.withColumnRenamed("node", "b"), "b", "left_semi")
     return graph.components(lost, edges.join(lost.withColumnRenamed("node", "a"), "a", "left_semi")).groupBy("component").agg(F.count("*").alias("sectors"))
 
 
