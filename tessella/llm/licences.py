@@ -49,8 +49,8 @@ SENTENCES = [
     ("bsd-binary", r"redistributions in binary form must reproduce"),
     ("bsd-endorse", r"to endorse or promote products derived from this software"),
     ("bsd-as-is", r"this software is provided by .* as is"),
-    ("public-domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("public-domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain"),
 ]
 
 # Ordered rules; the first that fits at a place wins. * takes a version, ? marks an optional sentence.
@@ -76,8 +76,23 @@ RULES = [
 
 _TRIGGER = re.compile("|".join(map(re.escape, TRIGGERS)).replace(r"\ ", r"\W{1,40}"), re.I)
 _BORDER = re.compile(r"[.!?](?=\s|$)|\n[ \t#/*;-]*\n")
-_KNOWN = [(name, re.compile(rf"(?<![a-z0-9]){pattern}(?![a-z0-9])")) for name, pattern in SENTENCES]
-_PRECEDENCE = {name: i for i, (name, _) in enumerate(SENTENCES)}
+_GAP = re.compile(r"\(\?: \.\*\?\)\?|\.\*")
+
+
+def _known(name: str, pattern: str) -> tuple[str, re.Pattern, re.Pattern | None, bool]:
+    """Name, pattern, what stands before its gap (None without a gap), and whether its last group is the version."""
+    gap = _GAP.search(pattern)
+    head = re.compile(rf"(?<![a-z0-9]){pattern[: gap.start()]}") if gap else None
+    lazy = re.sub(r"\.\*\??", "(.*?)", pattern) if gap else pattern
+    return name, re.compile(rf"(?<![a-z0-9]){lazy}(?![a-z0-9])"), head, re.compile(pattern).groups > 0
+
+
+_KNOWN = [_known(*x) for x in SENTENCES]
+#: Starts of sentences with a version: no gap reaches beyond one, as the version there belongs to another licence.
+_VERSIONED = [head or pattern for _, pattern, head, version in _KNOWN if version]
+_WORD = re.compile(r"[a-z0-9.+/\-]+")
+#: What follows the first identifier of an SPDX expression, on its line.
+_OPERATOR = re.compile(r"[ \t)]+(OR|AND|WITH)[ \t(]+([A-Za-z0-9.+-]+)")
 
 
 def normalise(sentence: str) -> str:
@@ -85,13 +100,73 @@ def normalise(sentence: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9.+/,\- ]+", " ", sentence.lower().replace("-license-identifier:", "-license-identifier ")).replace(",", " ").split())
 
 
-def identify(sentence: str) -> tuple[str, str] | None:
-    """Identifier and version of a known sentence; of several the first in the list."""
+def _matches(text: str) -> list[tuple[str, str, int, int]]:
+    """(name, version, start, end) of known sentences in normalised text, in order; where two overlap, the first in the list.
+
+    Gaps do not count as overlap: a sentence that stands in the gap of another is found, too.
+    """
+    found: list[tuple[str, str, int, int]] = []
+    taken: list[tuple[int, int]] = []
+    bounds: list[int] | None = None
+    for name, pattern, head, version in _KNOWN:
+        if head is None:
+            hits = list(pattern.finditer(text))
+        else:
+            starts = list(head.finditer(text))
+            if not starts:
+                continue
+            if bounds is None:
+                bounds = sorted({m.start() for v in _VERSIONED for m in v.finditer(text)})
+            hits = []
+            for i, h in enumerate(starts):
+                near = bisect_right(bounds, h.start())
+                limit = min(bounds[near] if near < len(bounds) else len(text), starts[i + 1].start() if i + 1 < len(starts) else len(text))
+                if m := pattern.match(text, h.start(), limit):
+                    hits.append(m)
+        for m in hits:
+            spans = [m.span()] if head is None or m.start(1) < 0 else [(m.start(), m.start(1)), (m.end(1), m.end())]
+            if all(b <= x or y <= a for a, b in spans for x, y in taken):
+                taken.extend(spans)
+                found.append((name, m[m.re.groups] or "" if version else "", *m.span()))
+    return sorted(found, key=lambda f: f[2])
+
+
+def _places(sentence: str) -> list[tuple[int, int]]:
+    """Where the words of the normalised sentence stand in the sentence."""
+    lower, at = [], []
+    for i, c in enumerate(sentence):
+        for x in c.lower():
+            lower.append(x)
+            at.append(i)
+    text = "".join(lower).replace("-license-identifier:", "-license-identifier ")
+    return [(at[m.start()], at[m.end() - 1] + 1) for m in _WORD.finditer(text)]
+
+
+def identify(sentence: str) -> list[tuple[str, str, int, int]]:
+    """(identifier, version, first, end) of the known sentences in a sentence, in order; together they take up all of it.
+
+    An SPDX expression gives one for each identifier; an exception stays with its identifier.
+    """
     text = normalise(sentence)
-    for name, pattern in _KNOWN:
-        if m := pattern.search(text):
-            return name, (m[1] or "") if pattern.groups else ""
-    return None
+    found = _matches(text)
+    if not found:
+        return []
+    if len(found) == 1 and found[0][0] != "spdx":
+        return [(*found[0][:2], 0, len(sentence))]
+    places, starts = _places(sentence), [0]
+    starts.extend(m.end() for m in re.finditer(" ", text))
+    out = []
+    for name, version, start, end in found:
+        out.append((name, version, places[bisect_right(starts, start) - 1][0]))
+        at = places[bisect_right(starts, end - 1) - 1][1]
+        while name == "spdx" and (m := _OPERATOR.match(sentence, at)):
+            other, at = m[2].lower().rstrip("."), m.end()
+            if m[1] == "WITH":
+                out[-1] = (name, f"{out[-1][1]} with {other}", out[-1][2])
+            else:
+                out.append((name, other, m.start(2)))
+    firsts = [0, *(first for _, _, first in out[1:]), len(sentence)]
+    return [(name, version, firsts[i], firsts[i + 1]) for i, (name, version, _) in enumerate(out)]
 
 
 def sentences(text: str) -> Iterator[tuple[int, int]]:
@@ -108,8 +183,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     """(licence, first, end) of the licences in a text, in order."""
     known = []
     for a, b in sentences(text):
-        if found := identify(text[a:b]):
-            known.append((*found, a, b))
+        known.extend((name, version, a + first, a + end) for name, version, first, end in identify(text[a:b]))
     out, at = [], 0
     while at < len(known):
         best = None
