@@ -70,9 +70,7 @@ def parse(html: str) -> Page:
         flush()
         del stack[i:], names[i:]
 
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
-            continue
+    while m := _TOKEN.search(html, at):  # from at, so that no token begins in raw text that was passed over
         if not skipping and m.start() > at:
             piece = html[at : m.start()]
             buffer.append(piece)

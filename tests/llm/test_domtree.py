@@ -42,6 +42,19 @@ def test_parse(html, blocks):
     assert [t for _, t, _ in domtree.parse(html).blocks] == blocks
 
 
+@pytest.mark.parametrize(
+    "html, blocks",
+    [
+        ("<script>for(i=0;i<n;i++){} // don't</script><p>It's a first paragraph.</p><p>Next.</p>", ["It's a first paragraph.", "Next."]),
+        ("<style>/* <b \" */</style><div class=x><p>a</p></div><p title=\"t\">b</p>", ["a", "b"]),
+        ("<textarea><a '</textarea><p>it's<p>b", ["it's", "b"]),
+        ("<script><!-- </script><p>a</p> <!-- no --> b", ["a", "b"]),
+    ],
+)
+def test_no_token_begins_in_raw_text(html, blocks):
+    assert [t for _, t, _ in domtree.parse(html).blocks] == blocks
+
+
 def test_held_out_layouts():
     pages = [domtree.parse(x) for x in domtree.labelled_pages(200, 77)]
     p, _ = domtree.trained().marginals(domtree.forest(pages))
