@@ -76,8 +76,9 @@ def cells_of_boxes(v):
 
 @query(sql("pts pt_tile", "SELECT ix, iy, CASE WHEN n <= 99 THEN 'MAP' || LPAD(CAST(i + 1 AS VARCHAR), 2, '0') ELSE 'M' || LPAD(CAST(i + 1 AS VARCHAR), 4, '0') END AS map_name FROM (SELECT ix, iy, ROW_NUMBER() OVER (ORDER BY iy, ix) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT ix, iy FROM pt_tile WHERE district_id = 7))"))
 def map_names(v):
-    tiles = v.pt_tile().where("district_id = 7").select("ix", "iy").distinct()  # one district's tiles: a pack
-    return tiles.select("ix", "iy", grid.map_name(F.row_number().over(W.orderBy("iy", "ix")) - 1, F.count("*").over(W.partitionBy())).alias("map_name"))
+    """A name for each tile of each district; a district's tiles are a pack."""
+    tiles, pack = v.district_tile(), W.partitionBy("district_id")
+    return tiles.select("district_id", "ix", "iy", grid.map_name(F.row_number().over(pack.orderBy("iy", "ix")) - 1, F.count("*").over(pack)).alias("map_name"))
 
 
 @query("SELECT s_suppkey, TRIM(REGEXP_REPLACE(LOWER(s_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM supplier")
