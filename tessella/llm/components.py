@@ -11,12 +11,13 @@ from tessella.llm.store import written
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node", label: str = "label", a: str = "a", b: str = "b") -> DataFrame:
     """Rows of nodes (node, label) with label lowered to the least label in the node's component.
 
-    Edges are undirected, may repeat, and name only nodes that exist. Minima combine before each shuffle, so a hub with
+    Nodes are distinct and not null. The loop runs on the nodes themselves, as labels may be null or repeat; a component
+    has a null label only if all its labels are null. Edges are undirected, may repeat, and name only nodes that exist. Minima combine before each shuffle, so a hub with
     many edges sends one row a task.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    state = written(nodes.select(F.col(node).alias("n"), F.col(label).alias("l")).join(both.select(F.col("u").alias("n")).distinct(), "n", "left_semi"), "labels")
+    state = written(nodes.select(F.col(node).alias("n"), F.col(node).alias("l")).join(both.select(F.col("u").alias("n")).distinct(), "n", "left_semi"), "labels")
     while True:
         near = both.join(state.withColumnRenamed("n", "v"), "v").groupBy(F.col("u").alias("n")).agg(F.min("l").alias("m"))
         hooked = state.join(near, "n").select("n", "l", F.least("l", "m").alias("m"))
@@ -26,4 +27,6 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", label: st
         state = step.select("n", "l")
         if step.where("moved").isEmpty():
             break
-    return nodes.join(state.withColumnRenamed("n", node), node, "left").select(node, F.coalesce("l", label).alias(label))
+    least = state.join(nodes.select(F.col(node).alias("n"), F.col(label).alias("m")), "n").groupBy("l").agg(F.min("m").alias("m"))
+    lowered = state.join(least, "l").select(F.col("n").alias(node), "m")
+    return nodes.join(lowered, node, "left").select(node, F.coalesce("m", label).alias(label))
