@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.shared import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; the folder is the session's, or one of our own where none is set."""
+    """A reliable checkpoint in the folder that all executors share."""
     context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessella-", dir=os.environ.get("TMPDIR")))
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
