@@ -60,3 +60,64 @@ def test_lower_bound():
 def test_empty(spark, odd_docs):
     assert simhash.near_duplicates(odd_docs.limit(0)).count() == 0
     assert simhash.near_duplicates(odd_docs).count() == odd_docs.count()
+
+
+def test_null_and_repeated_ids(spark, prose):
+    a, b = prose(1, 900), prose(2, 900)
+    near = lambda t, k: t + f" end{k}"
+    assert all((fingerprint(x) ^ fingerprint(near(x, 1))).bit_count() <= 4 for x in (a, b)) and (fingerprint(a) ^ fingerprint(b)).bit_count() > 8
+    rows = [(3, a), (1, near(a, 1)), (3, b), (5, near(b, 1)), (None, near(b, 2)), (None, prose(3, 40)), (7, prose(4, 40)), (7, prose(5, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(docs).collect())
+    assert got == sorted([(3, 1), (1, 1), (3, 3), (5, 3), (0, 3), (0, 0), (7, 7), (7, 7)])
+    kept = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(docs, shingle=4, words=1, grid_words=1, agree=4, most=4).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, near(a, 1)), (3, b), (None, prose(3, 40)), (7, prose(4, 40)), (7, prose(5, 40))], key=repr)
+
+
+def test_null_ids_within_chains(spark):
+    fps = [0, 0b1111, 0b11111111, 1 << 60, (1 << 60) + 0b1111, 0b111111111111]
+    ids = [1, None, 5, None, 9, None]
+    nodes = spark.createDataFrame([(f, i) for f, i in zip(fps, ids)], "fp long, least long")
+    got = {r["fp"]: r["least"] for r in simhash.components(nodes, simhash.near_links(nodes, 4), "fp", "least").collect()}
+    assert got == {0: 1, 0b1111: 1, 0b11111111: 1, 0b111111111111: 1, 1 << 60: 1, (1 << 60) + 0b1111: 1}
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_of_five_words(spark, prose):
+    rows, caught = [], {}
+    for k in range(60):
+        w = prose(k, 400).split()
+        v = w[:]
+        for i in range(k // 3):
+            v[(i * 37 + k * 31) % 400] = f"new{i}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * k for k in range(60)} <= kept
+    for k in range(60):
+        a, b = shingles(rows[2 * k][1]), shingles(rows[2 * k + 1][1])
+        alike = len(a & b) / len(a | b)
+        caught.setdefault(0.9 if alike >= 0.9 else 0.8 if alike >= 0.8 else 0.7 if alike >= 0.7 else 0, []).append(2 * k + 1 not in kept)
+    share = {alike: sum(c) / len(c) for alike, c in caught.items()}
+    assert share[0.9] >= 0.95 and share[0.8] >= 0.6 and share[0.7] <= 0.4 and not share[0]
+
+
+def test_clashing_names_and_repeated_rows(spark, prose):
+    rows = [(1, prose(1), "a"), (1, prose(1), "a"), (2, prose(1), "b"), (3, None, "c"), (4, "", "d")]
+    docs = spark.createDataFrame([(*r, *"wxyz") for r in rows], "doc_id long, text string, id string, k1 string, _k1 string, K2 string, `fp` string")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(1, prose(1), "a", *"wxyz"), (3, None, "c", *"wxyz")]
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_hot_cells_are_not_compared_as_a_whole(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 8)
+    r = np.random.default_rng(3)
+    fps = sorted({int(1 << r.integers(0, 62)) | int(1 << r.integers(0, 62)) for _ in range(300)})
+    nodes = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, least long")
+    got = simhash.components(nodes, simhash.near_links(nodes, 4), "fp", "least").collect()
+    assert {x["least"] for x in got} == {0}
