@@ -91,8 +91,25 @@ def trim() -> None:
         pass
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of each lower-cased word of the contamination rule, in order."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and row, first and end byte of each word of the contamination rule, in order."""
     low = LOWER[data]
     starts, ends = spans(WORD[low], offsets)
-    return np.searchsorted(offsets, starts, "right") - 1, hashes(low, starts, ends)
+    return low, np.searchsorted(offsets, starts, "right") - 1, starts, ends
+
+
+def same(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which spans of a and b (of one length each, not empty) hold the same bytes."""
+    out = np.ones(len(lengths), bool)
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    for i, j in slices(total, SPAN_BYTES):
+        edge, n = total[i:j] - total[i], lengths[i:j]
+        within = np.arange(total[j] - total[i]) - np.repeat(edge, n)
+        out[i:j] = np.logical_and.reduceat(a[np.repeat(at_a[i:j], n) + within] == b[np.repeat(at_b[i:j], n) + within], edge)
+    return out
+
+
+def spelled(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of the spans, one after the other."""
+    within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return data[np.repeat(starts, lengths) + within]

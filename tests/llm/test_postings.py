@@ -55,3 +55,35 @@ def test_phrases_and_proximity(spark):
     assert [tuple(r) for r in postings.phrase_matches(index, tests).collect()] == [(1, "9", 0, 3)]
     assert {r["doc_id"] for r in postings.phrase_matches(index, tests, slop=1).collect()} == {1, 2}
     assert {r["doc_id"] for r in postings.phrase_matches(index, tests, slop=4).collect()} == {1, 2, 3}
+
+
+def test_words_that_share_a_hash(spark, prose, monkeypatch):
+    real = postings.bt.hashes
+    monkeypatch.setattr(postings.bt, "hashes", lambda *a: real(*a) % 5)
+    from tessella.llm import bytestext as bt
+
+    data, offsets = bt.utf8(__import__("pyarrow").array(["ka lo ka mi", "ru ka"]))
+    low, row, first, end = bt.word_spans(data, offsets)
+    terms, order, counts = postings._dictionary(low, first, end)
+    assert sorted(zip([bytes(terms.spelled[a : a + n]) for a, n in zip(terms.starts, terms.lengths)], counts.tolist())) == [(b"ka", 3), (b"lo", 1), (b"mi", 1), (b"ru", 1)]
+    assert terms.find(terms).tolist() == list(range(4))
+    index = list(postings.Block([("i", "ka lo mi ru"), ("j", "lo lo")], 2).windows)
+    assert index == [2]
+
+
+def test_long_item_in_pieces(spark, prose, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK_WORDS", 7)
+    text = prose(101, 60)
+    docs = [(i, " ".join(text.split()[i : i + 14]) + " zz") for i in range(0, 50, 7)] + [(90, text)]
+    check(spark, docs, [(1, text), (2, prose(4, 13))])
+
+
+def test_rows_that_stay(spark, prose):
+    rows = [(1, prose(1, 30), "a"), (1, prose(2, 30), "b"), (None, prose(1, 30), "c"), (3, None, "d"), (4, "", "e"), (4, "", "e")]
+    docs = spark.createDataFrame([(*r, *"wxyz") for r in rows], "doc_id long, text string, k1 string, k2 string, _k1 string, _row string, runs string")
+    tests = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
+    got = postings.without_contaminated(docs, tests)
+    assert got.columns == docs.columns
+    assert sorted((r["k1"] for r in got.collect())) == ["b", "d", "e", "e"]
+    assert postings.without_contaminated(docs.limit(0), tests).count() == 0
+    assert postings.without_contaminated(docs, tests.limit(0)).count() == 6
