@@ -6,10 +6,12 @@ equal windows have equal anchors. Maximal runs of windows with one anchor are th
 hold a repeat and drop out by a count; the texts of each other anchor meet in one task, which builds their transform and
 common prefixes: a window is repeated where a sorted neighbour shares all its bytes.
 
-Skew: equal documents are one text (any window of a document that has a copy is repeated); equal cuttings are one text
-with a weight, combined before they are sent; an anchor with more than HOT texts (a passage that many documents share)
-is split by the place of the anchor in the window and by the bytes that all windows of a piece share, which no pair of
-equal windows can differ in.
+Skew: equal documents and equal cuttings are one text with a weight, combined before they are sent; a text that occurs
+more than once stands in the transform twice, so its copies are found like any other repeat. An anchor with more than
+HOT texts (a passage that many documents share) is split by the place of the anchor in the window and by the bytes that
+all windows of a piece share, which no pair of equal windows can differ in. Pieces at the edge of a passage share those
+bytes and differ in the rest; where more than HOT meet, they are split further into single windows, by all their bytes.
+So no more than HOT texts of one anchor meet: 2 MB at the default length, transform included 50 MB.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import bytestext as bt
 from tessella.llm import columnbwt
-from tessella.llm.store import release, written
+from tessella.llm.store import Scratch, fresh, release, written
 
 LENGTH = 200
 SEGMENT_BYTES = 1 << 20
@@ -34,7 +36,7 @@ SEGMENT_BYTES = 1 << 20
 CHUNK = 1 << 17
 #: Texts of one anchor beyond which it is split, and windows of a piece then.
 HOT, PIECE = 2000, 32
-#: Bytes of texts whose transform is built at once; more only if one anchor has more.
+#: Bytes of texts whose transform is built at once; more only if one anchor has more, which HOT bounds.
 BUILD_BYTES = 64_000
 BUCKET_BYTES = 16 << 20
 
@@ -117,7 +119,7 @@ def _aligned(piece: bytes, length: int) -> Iterator[tuple[int, int, int]]:
         yield xxhash.xxh64_intdigest(core, low + 1), a, b - a
 
 
-def _texts(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+def _texts(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     """All distinct texts with their two hashes, as a table bucketed by them: later joins move only their other side."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -129,19 +131,47 @@ def _texts(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
         seen = set()
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            fresh = [k not in seen and not seen.add(k) for k in keys]
-            yield batch.filter(pa.array(fresh, pa.bool_()))
+            new = [k not in seen and not seen.add(k) for k in keys]
+            yield batch.filter(pa.array(new, pa.bool_()))
 
     kind = "k1 long, k2 long, text string"
-    name = f"tessella_texts_{uuid.uuid4().hex}"
     distinct = rows.mapInArrow(once, kind).repartition(buckets, "k1", "k2").mapInArrow(once, kind)
     distinct.write.bucketBy(buckets, "k1", "k2").option("compression", "zstd").format("parquet").saveAsTable(name)
     release(spark)
-    return spark.table(name), name
+    return spark.table(name)
 
 
-def _spans(texts: DataFrame, length: int) -> DataFrame:
-    """k1, k2 and spans (binary: pairs of first and end byte) of the texts with repeated windows."""
+def _windows(length: int):
+    """Texts (h, c1, c2, weight, bytes) to their windows (h, c1, c2, i, w1, w2, weight), told by all their bytes."""
+
+    def windows(batches):
+        for batch in batches:
+            for h, c1, c2, weight, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                n = len(text) - length + 1
+                w = np.array([divmod(xxhash.xxh128_intdigest(text[i : i + length]), 2**64) for i in range(n)], np.uint64).view(np.int64).reshape(n, 2)
+                same = [pa.array(np.full(n, x, np.int64)) for x in (h, c1, c2)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n, dtype=np.int32)), pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(np.full(n, weight, np.int32))], names=["h", "c1", "c2", "i", "w1", "w2", "weight"])
+
+    return windows
+
+
+def _runs_of(length: int):
+    """(h, c1, c2, spans) from the numbers of the repeated windows of each text."""
+
+    def runs(batches):
+        for batch in batches:
+            out = []
+            for at in batch.column(3).to_pylist():
+                at = np.sort(np.array(at))
+                first = np.concatenate([[True], np.diff(at) > 1])
+                out.append(np.stack([at[first], at[np.append(first[1:], True)] + length], 1).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["h", "c1", "c2", "spans"])
+
+    return runs
+
+
+def _spans(texts: DataFrame, copied: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """k1, k2 and spans (binary: pairs of first and end byte) of the texts with repeated windows; copied: k1, k2 of texts that several rows hold."""
     spark = texts.sparkSession
     width = shape(length)[2]
 
@@ -153,14 +183,15 @@ def _spans(texts: DataFrame, length: int) -> DataFrame:
                 first, size, anchor, places = anchors(data[offsets[a] : offsets[b]], off, length)
                 row = np.searchsorted(off, first, "right") - 1
                 take = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((first - off[row]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.minimum(places, 2).astype(np.int32))], names=["h", "k1", "k2", "first", "size", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((first - off[row]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.minimum(places, 2).astype(np.int32)), batch.column(3).take(take)], names=["h", "k1", "k2", "first", "size", "places", "weight"])
             bt.trim()
 
-    runs = texts.select("k1", "k2", "text").mapInArrow(find, "h long, k1 long, k2 long, first int, size int, places int")
-    runs = written(runs, "runs")
-    counts = runs.groupBy("h").agg(F.sum("places").alias("n")).where("n > 1")
-    runs = runs.join(counts, "h").select("k1", "k2", F.struct("h", "first", "size", (F.col("n") > HOT).alias("hot")).alias("run"))
-    runs = written(runs.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs")), "candidates")
+    weighed = texts.join(copied.withColumn("twice", F.lit(2)), ["k1", "k2"], "left").select("k1", "k2", "text", F.coalesce("twice", F.lit(1)).alias("weight"))
+    found = scratch.written(weighed.mapInArrow(find, "h long, k1 long, k2 long, first int, size int, places int, weight int"), "runs")
+    counts = found.groupBy("h").agg(F.sum(F.greatest("places", "weight")).alias("n")).where("n > 1")
+    runs = found.join(counts, "h").select("k1", "k2", F.struct("h", "first", "size", (F.col("n") > HOT).alias("hot"), "weight").alias("run"))
+    runs = scratch.written(runs.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs")), "candidates")
+    scratch.drop(found)
     release(spark)
 
     def cut(batches):
@@ -181,35 +212,33 @@ def _spans(texts: DataFrame, length: int) -> DataFrame:
                             digest = xxhash.xxh128_intdigest(text_)
                             key = (h & 2**64 - 1, digest)
                             if key in seen:
-                                out[seen[key]][6] += 1
+                                out[seen[key]][6] += run["weight"]
                             else:
                                 seen[key] = len(out)
-                            out.append([h, digest >> 64, digest & 2**64 - 1, k1, k2, run["first"] + i, 1, text_ if seen[key] == len(out) else None])
+                            out.append([h, digest >> 64, digest & 2**64 - 1, k1, k2, run["first"] + i, run["weight"], text_ if seen[key] == len(out) else None])
                 columns = list(zip(*out)) if out else [()] * 8
                 signed = lambda c: pa.array(np.array([x & 2**64 - 1 for x in c], np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([signed(columns[0]), signed(columns[1]), signed(columns[2]), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.int32()), pa.array(columns[6], pa.int32()), pa.array(columns[7], pa.binary())], names=["h", "c1", "c2", "k1", "k2", "first", "weight", "bytes"])
 
     cuts = texts.select("k1", "k2", "text").join(runs, ["k1", "k2"]).select("k1", "k2", "text", "runs")
-    cuts = written(cuts.mapInArrow(cut, "h long, c1 long, c2 long, k1 long, k2 long, first int, weight int, bytes binary"), "cuts")
+    cuts = scratch.written(cuts.mapInArrow(cut, "h long, c1 long, c2 long, k1 long, k2 long, first int, weight int, bytes binary"), "cuts")
+    scratch.drop(runs)
 
     def build(batches):
-        """Rows by h, c1, c2: transform and common prefixes of whole anchors at a time."""
+        """Rows by h: transform and common prefixes of whole anchors at a time."""
         held, size, last, texts_at = [], 0, None, {}
 
         def flush():
             if not held:
                 return
-            # Copies of a text that is alone under its anchor have no neighbour but each other.
-            alone = [r[4] > 1 and (i == 0 or held[i - 1][0] != r[0]) and (i + 1 == len(held) or held[i + 1][0] != r[0]) for i, r in enumerate(held)]
-            held.sort(key=lambda r, skip=iter(alone): next(skip))
-            length_of = np.array([len(r[3]) for r in held])
+            # A text that occurs more than once stands there twice: the transform shows its copies, too.
+            both = [r[3] for r in held] + [r[3] for r in held if r[4] > 1]
+            length_of = np.array([len(x) for x in both])
             ends = np.cumsum(length_of)
-            data = np.frombuffer(b"".join(r[3] for r in held), np.uint8)
-            some = len(held) - sum(alone)
-            hit = columnbwt.repeated(data, (ends - length_of)[:some], ends[:some], length, width)
+            hit = columnbwt.repeated(np.frombuffer(b"".join(both), np.uint8), ends - length_of, ends, length, width)
             out = []
-            for (h, c1, c2, text, weight), a, b in zip(held, (ends - length_of).tolist(), ends.tolist()):
-                mine = np.ones(len(text) - length + 1, bool) if weight > 1 else hit[a : b - length + 1]
+            for (h, c1, c2, text, _), a, b in zip(held, (ends - length_of).tolist(), ends.tolist()):
+                mine = hit[a : b - length + 1]
                 if mine.any():
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
                     out.append((h, c1, c2, np.stack([edge[::2], edge[1::2] + length - 1], 1).astype("<i8").tobytes()))
@@ -232,17 +261,26 @@ def _spans(texts: DataFrame, length: int) -> DataFrame:
                 size += len(text)
         yield from flush()
 
-    distinct = cuts.where("bytes is not null").select("h", "c1", "c2", "weight", "bytes").repartition("h").sortWithinPartitions("h")
-    marks = written(distinct.mapInArrow(build, "h long, c1 long, c2 long, spans binary"), "marks")
+    distinct = cuts.where("bytes is not null").select("h", "c1", "c2", "weight", "bytes")
+    # Copies of one piece are one text, so only pieces that differ count.
+    heavy = distinct.groupBy("h", "c1", "c2").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h")
+    heavy = scratch.written(heavy, "heavy")
+    kind = "h long, c1 long, c2 long, spans binary"
+    light = distinct.join(heavy, "h", "left_anti").repartition("h").sortWithinPartitions("h")
+    marks = scratch.written(light.mapInArrow(build, kind), "marks")
+    if not heavy.isEmpty():
+        single = distinct.join(heavy, "h", "left_semi").mapInArrow(_windows(length), "h long, c1 long, c2 long, i int, w1 long, w2 long, weight int")
+        single = scratch.written(single, "windows")
+        often = single.groupBy("h", "w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("h", "w1", "w2")
+        at = single.join(often, ["h", "w1", "w2"]).groupBy("h", "c1", "c2").agg(F.collect_set("i").alias("at"))
+        marks = marks.unionByName(scratch.written(at.mapInArrow(_runs_of(length), kind), "marks"))
     release(spark)
     hits = cuts.select("h", "c1", "c2", "k1", "k2", "first").join(marks, ["h", "c1", "c2"])
-    return written(hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "spans")).alias("hits")), "hits")
+    return scratch.written(hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "spans")).alias("hits")), "hits")
 
 
-def _kept(raw: bytes, hits: list | None, copies: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _removed(hits: list | None) -> tuple[np.ndarray, np.ndarray]:
     """First and end bytes of the maximal removed runs."""
-    if len(raw) >= length and copies > 1:
-        return np.array([0]), np.array([len(raw)])
     if not hits:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pairs = np.concatenate([np.frombuffer(h["spans"], "<i8").reshape(-1, 2) + h["first"] for h in hits])
@@ -258,26 +296,28 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, length: int, with_text:
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")), "rows")
-    texts, name = _texts(docs, text_col)
-    copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
-    facts = written(copies.join(_spans(texts, length), ["k1", "k2"], "left"), "facts")
 
     def solve(batches):
         for batch in batches:
             out = []
-            for k1, k2, text, n, hits in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for k1, k2, text, hits in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 raw = text.encode()
-                a, b = _kept(raw, hits, n, length)
+                a, b = _removed(hits)
                 edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(raw)]
                 kept = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))
-                out.append((k1, k2, len(raw), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+                out.append((k1, k2, len(raw), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text and len(a) else None))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = list(zip(*out)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    solved = texts.select("k1", "k2", "text").join(facts, ["k1", "k2"]).select("k1", "k2", "text", "copies", "hits")
-    solved = written(solved.mapInArrow(solve, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"), "solved")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    with Scratch(spark) as scratch:
+        name = f"tessella_texts_{uuid.uuid4().hex}"
+        scratch.names.append(name)
+        texts = _texts(docs, text_col, name)
+        copied = rows.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2")
+        hits = _spans(texts, copied, length, scratch)
+        solved = texts.select("k1", "k2", "text").join(hits, ["k1", "k2"], "left").select("k1", "k2", "text", "hits")
+        solved = written(solved.mapInArrow(solve, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"), "solved")
     release(spark)
     return rows, solved
 
@@ -293,10 +333,15 @@ def digest(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated bytes cut out of text_col; a character that loses one of its bytes goes whole."""
+    """docs with the repeated bytes cut out of text_col; a character that loses one of its bytes goes whole.
+
+    All rows stay, also those whose text becomes empty; null and empty texts stay as they are; repeated rows lose all
+    that is as long as a window; extra columns pass through whatever their names; an empty table gives an empty result.
+    """
     _, solved = _solve(docs, id_col, text_col, length, True)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
-    cut = solved.where("n_removed > 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("kept").alias("_kept"))
-    joined = keyed.join(cut, ["_k1", "_k2"], "left")
-    return joined.select(*[F.coalesce("_kept", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    k1, k2, kept = (fresh(docs.columns, c) for c in ("k1", "k2", "kept"))
+    keyed = docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.lit(1), text)})
+    cut = solved.where("n_removed > 0").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("kept").alias(kept))
+    joined = keyed.join(cut, [k1, k2], "left")
+    return joined.select(*[F.coalesce(F.col(kept), F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -74,3 +74,22 @@ def test_cut_texts(spark, odd_docs, prose):
     got = suffixdedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, _x string"), 50)
     assert got.columns == ["doc_id", "text", "_x"]
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: "é end", 2: "start ", 3: None}
+
+
+@pytest.mark.parametrize("length", [200, 40])
+def test_edges_of_a_hot_passage(spark, monkeypatch, prose, length):
+    monkeypatch.setattr(suffixdedup, "HOT", 10)
+    passage = prose(1, 90)
+    texts = [prose(100 + i, 12) + passage[: len(passage) - i % 7] + prose(300 + i, 12) for i in range(60)] + [prose(7, 80)] * 3 + [prose(8, 80)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, suffixdedup.digest(frame, length).collect())) == [(i, *b) for i, b in enumerate(brute(texts, length))]
+
+
+def test_clashing_names_and_tables_left(spark, prose):
+    rows = [(i % 2, prose(9, 80), *"uvwxyz") for i in range(3)] + [(5, None, *"uvwxyz"), (6, "", *"uvwxyz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept string, kept string, K1 string, k2 string, _k1 string, hits string")
+    got = suffixdedup.without_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"], r["kept"]) for r in got.na.fill("-", ["text"]).collect()) == [(0, "", "v"), (0, "", "v"), (1, "", "v"), (5, "-", "v"), (6, "", "v")]
+    assert suffixdedup.without_repeats(docs.limit(0)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tessella_texts")]
