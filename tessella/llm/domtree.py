@@ -1,7 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
-The block elements of a page form a tree. Each node is content or not: unary potentials come from its tag, class and id
-words, text lengths and share of link text; parent-child potentials tie a node to its parent. Sum-product messages pass
+The block elements of a page form a tree, and so do the runs of text that stand between them, each a leaf. Each node is
+content or not: unary potentials come from its tag, class and id words, text lengths and share of link text; parent-child
+potentials tie a node to its parent. Sum-product messages pass
 up and then down all trees of a batch at once, level by level, and give each node's content marginal. The weights are
 trained by exact gradients on labelled pages. Pages are independent rows: no shuffle.
 """
@@ -27,7 +28,7 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp".split())
-SKIPPED = set("noscript template svg math iframe object select button canvas audio video datalist noframes map".split())
+SKIPPED = set("noscript template svg iframe select button audio video datalist noframes".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "tfoot": {"table"}}
 
@@ -38,6 +39,8 @@ _MAIN = re.compile(r"\bdata-main\b")
 FEATURES = 1 << 14
 #: Pages whose trees pass messages together.
 PAGES = 256
+#: A page without likely content is read once more if its chance to hold some is this, and how much likelier it starts then.
+DOUBT, ENTRY = 0.05, 30.0
 
 
 @dataclass
@@ -62,7 +65,10 @@ def parse(html: str) -> Page:
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                page.blocks.append((stack[-1], text, min(links[1], len(text))))
+                page.parents.append(stack[-1])
+                page.keys.append(("#text", ""))
+                page.marked.append(page.marked[stack[-1]])
+                page.blocks.append((len(page.parents) - 1, text, min(links[1], len(text))))
             buffer.clear()
             links[1] = 0
 
@@ -265,6 +271,11 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[str]:
             out.append(word() + ("." if r.random() < 0.1 else "," if r.random() < 0.08 else ""))
         return " ".join(out).capitalize() + "."
 
+    def bare(least, most):
+        """Words without marks, as in lists, verse or junk."""
+        few = [word() for _ in range(r.choice([1, 5, 50]))]
+        return " ".join(r.choice(few) for _ in range(r.randint(least, most)))
+
     def links(k, around="li"):
         return "".join(f'<{around}><a href="/{word()}">{prose(1, 3)}</a></{around}>' for _ in range(k))
 
@@ -274,12 +285,19 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[str]:
         attr = "" if tag != "div" and kind < 0.4 else f' class="{w}"' if kind < 0.7 else f' id="{w}"' if kind < 0.85 else f' class="{r.choice(["block", "box", "wrap", "col"])} {w}-{r.choice(["area", "box", "inner", "main"])}"'
         return f"<{tag}{attr}>{inside}</{tag}>"
 
+    def plain(inside, mark=""):
+        """A box whose name says nothing."""
+        w = r.choice("col1 col2 col-md-8 left right center wrap inner box1 area holder c x1 row primary secondary view cell one two".split())
+        return f'<div{mark} {r.choice(["id", "class"])}="{w}">{inside}</div>'
+
     def noise():
         p = lambda a, b: f"<p>{prose(a, b)}</p>"
         return r.choice([
             lambda: named("nav", ["nav", "menu", "navbar", "breadcrumb"], f"<ul>{links(r.randint(2, 9))}</ul>"),
             lambda: named("header", ["header", "masthead", "site-header", "top"], r.choice([p(1, 6), f"<h1>{prose(1, 4)}</h1>", f"<div>{prose(1, 4)}</div>"]) + r.choice(["", f"<ul>{links(3)}</ul>"])),
             lambda: named("footer", ["footer", "site-footer", "copyright", "bottom"], "&copy; " + r.choice([prose(3, 30), p(3, 20), f"<ul>{links(4)}</ul>"])),
+            lambda: named("div", ["hatnote", "note", "dablink", "ambox", "metadata", "noprint", "toc", "navbox", "editnotice"], r.choice([prose(3, 20), f"<i>{prose(3, 12)}</i>", f'{prose(1, 5)} <a href="/x">{prose(1, 4)}</a>.', f"<ul>{links(4)}</ul>"])),
+            lambda: plain(r.choice([f"<ul>{links(r.randint(3, 12))}</ul>", f"<h4>{prose(1, 2)}</h4>" + links(r.randint(3, 6), "p"), links(r.randint(3, 9), "div"), f"<h3>{prose(1, 3)}</h3>{prose(4, 12)}<ul>{links(3)}</ul>"])),
             lambda: named("aside", ["sidebar", "widget", "related", "aside"], f"<h3>{prose(1, 3)}</h3>" + r.choice([f"<ul>{links(5)}</ul>", p(5, 40)])),
             lambda: named("div", ["sidebar", "widget", "related", "recommended", "popular", "trending"], f"<h3>{prose(1, 3)}</h3>" + r.choice([f"<ul>{links(5)}</ul>", p(5, 40), links(4, "p")])),
             lambda: named("div", ["ad", "ads", "advert", "advertisement", "sponsor", "banner", "promo"], r.choice([prose(3, 30), p(3, 30)])),
@@ -294,18 +312,23 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[str]:
         parts = [f"<h{k}{m}>{prose(2, 9)}</h{k}>" for k in ([1] if r.random() < 0.8 else [])]
         for _ in range(r.choice([1, 1, 2, 3, 5, 9])):
             parts.append(r.choice([
-                lambda: f"<p{m}>{prose(1, 120)}</p>", lambda: f"<p{m}>{prose(30, r.choice([60, 120, 400, 1500]))}</p>", lambda: f"<p{m}><b>{prose(1, r.choice([30, 200, 600]))}<br>", lambda: f"<p{m}>{prose(1, 4)}</p>", lambda: f'<p{m}>{prose(3, 30)} <a href="/x">{prose(1, 4)}</a> {prose(3, 30)}</p>',
+                lambda: f"<p{m}>{prose(1, 120)}</p>", lambda: f"<p{m}>{prose(30, r.choice([60, 120, 400, 1500]))}</p>", lambda: f"<p{m}>{prose(1, 4)}</p>", lambda: f'<p{m}>{prose(3, 30)} <a href="/x">{prose(1, 4)}</a> {prose(3, 30)}</p>',
                 lambda: f"<h2{m}>{prose(1, 6)}</h2><p{m}>{prose(20, 80)}</p>", lambda: f"<ul{m}>" + "".join(f"<li{m}>{prose(2, 20)}</li>" for _ in range(3)) + "</ul>", lambda: f"<blockquote{m}><p{m}>{prose(5, 40)}</p></blockquote>",
                 lambda: f"<table{m}><tr{m}><td{m}>{prose(1, 4)}</td><td{m}>{prose(1, 4)}</td></tr></table>", lambda: f"<div{m}>{prose(20, 90)}</div>", lambda: f"<pre{m}>{prose(3, 20)}</pre>",
+                lambda: f"<p{m}>{bare(8, r.choice([20, 100, 600]))}</p>", lambda: f"{prose(20, 90)}<br><br>{prose(10, 60)}", lambda: f"{prose(5, 60)} <b>{prose(1, 4)}</b> {prose(5, 60)}", lambda: f"<p{m}><b>{prose(1, 6)}</b> {prose(10, r.choice([80, 300]))}</p>",
+                lambda: f"<dl{m}><dt{m}>{prose(1, 4)}</dt><dd{m}>{prose(5, 40)}</dd></dl>", lambda: f"<figure{m}><img src=x><figcaption{m}>{prose(3, 12)}</figcaption></figure>", lambda: f"<section{m}><h3{m}>{prose(1, 6)}</h3><p{m}>{prose(20, 90)}</p></section>",
+                lambda: f"<p{m}>{prose(3, 20)} <code>{word()}</code> {prose(3, 20)}</p><pre{m}>{prose(3, 40)}</pre>", lambda: f"<ol{m}>" + "".join(f"<li{m}>{prose(4, 40)}</li>" for _ in range(4)) + "</ol>",
             ])())
-        if r.random() < 0.35:
-            parts.insert(r.randrange(len(parts) + 1), noise())
+        for chance in (0.4, 0.2):
+            if r.random() < chance:
+                parts.insert(r.randrange(len(parts) + 1), noise())
         inside = "".join(parts)
         return r.choice([
             lambda: f"<article{m}>{inside}</article>", lambda: f"<article{m}>{inside}</article>", lambda: f"<main><article{m}>{inside}</article></main>", lambda: f"<main{m}>{inside}</main>",
             lambda: f'<div{m} class="{r.choice(["content", "post", "entry-content", "article-body", "story", "text", "post-content", "main-content"])}">{inside}</div>',
             lambda: f'<div{m} id="{r.choice(["content", "main", "article", "body", "story"])}">{inside}</div>', lambda: f"<section{m}>{inside}</section>", lambda: f"<div{m}>{inside}</div>",
-            lambda: f'<div class="container"><div{m} class="content">{inside}</div></div>',
+            lambda: f'<div class="container"><div{m} class="content">{inside}</div></div>', lambda: plain(inside, m), lambda: plain(inside, m), lambda: f"<table><tr><td{m}>{inside}</td></tr></table>",
+            lambda: f'<div class="{r.choice(["document", "mw-body", "page"])}"><div{m} class="{r.choice(["body", "mw-parser-output", "docs-content", "markdown-body"])}"{r.choice(["", " role=main"])}>{inside}</div></div>',
         ])()
 
     pages = []
@@ -328,14 +351,33 @@ def trained() -> Model:
     return fit(pages, [labels_of(p) for p in pages])
 
 
+def none_at_all(f: Forest, p: np.ndarray, pairs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The chance of each page to hold no content at all."""
+    child = np.flatnonzero(f.parents >= 0)
+    none = np.log(np.maximum(1 - p, 1e-300))  # of roots; each other node adds its chance to be none below a parent that is none
+    none[child] = np.log(np.maximum(pairs[child, 0, 0], 1e-300) / np.maximum(pairs[child, 0].sum(1), 1e-300))
+    return np.exp(np.minimum(np.add.reduceat(none, starts), 0))
+
+
 def texts(htmls: list[str], model: Model) -> list[str]:
-    """Main text of each page: content blocks in page order, joined by a line end."""
+    """Main text of each page: content blocks in page order, joined by a line end.
+
+    A page without a node that is likely content, but with a chance of DOUBT to hold some, is read once more by a model
+    to which content below other nodes is ENTRY more likely.
+    """
     pages = [parse(x) for x in htmls]
-    p, _ = model.marginals(forest(pages))
-    out, at = [], 0
-    for page in pages:
+    if not pages:
+        return []
+    f, sizes = forest(pages), np.array([len(x.parents) for x in pages])
+    starts = np.cumsum(sizes) - sizes
+    p, pairs = model.marginals(f)
+    open_ = (np.maximum.reduceat(p, starts) < 0.5) & (none_at_all(f, p, pairs, starts) <= 1 - DOUBT)
+    if open_.any():
+        again = Model(model.weights, model.turns + np.array([[0, np.log(ENTRY)], [0, 0]]))
+        p = np.where(np.repeat(open_, sizes), again.marginals(f)[0], p)
+    out = []
+    for page, at in zip(pages, starts.tolist()):
         out.append("\n".join(text for node, text, _ in page.blocks if p[at + node] >= 0.5))
-        at += len(page.parents)
     return out
 
 
