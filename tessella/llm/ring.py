@@ -66,7 +66,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, replicas: int = REPLICAS, load:
     load None: capacities add up to the number of rows and are at most one apart, so row counts are too. Otherwise a
     shard takes at most ceil(load * rows / shards) rows (load >= 1), which moves fewer rows when a shard is added.
     Null text: size 16, crc 0, placed like an empty text. Equal texts share a shard as far as it has room; repeated rows
-    get slots of their own; null ids are placed by their text; an empty table gives an empty result.
+    get slots of their own; null ids are placed by their text, in an order of their own in each run; an empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -75,7 +76,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, replicas: int = REPLICAS, load:
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("place"),
-        F.xxhash64(F.col(id_col).cast("long")).alias("turn"),
+        # Rows without an id are turned by their number, so that many of them with one text do not meet in one sub-arc.
+        F.coalesce(F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"))), F.xxhash64(F.monotonically_increasing_id(), F.lit(1))).alias("turn"),
     )
     places, owner = ring(shards, replicas)
 
