@@ -58,3 +58,28 @@ def test_against_brute_force(spark, prose, tmp_path):
         assert np.array(r["ids"]).tolist() == ref.encode_ordinary(t)
         assert not t or r["n_chars"] == len(t)
         assert not re.search("badword", t)
+
+
+def test_odd_tables(spark, prose, odd_docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    names = "_row _kept _k1 k1 K2 cell id order runs hits score ids".split()
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = odd_docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"), *[F.lit(f"own {n}").alias(n) for n in names])
+    spark.createDataFrame([(1, 1, 0), (None, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(3000, 20)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == docs.columns and out.schema["text"] == now.schema["text"]
+        assert all(r[n] == f"own {n}" for r in out.collect() for n in names), name
+        empty = stage(spark, now.limit(0), str(tmp_path))
+        assert empty.count() == 0 and empty.columns == docs.columns
+        now = out
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # The two equal rows are one, and the null, the empty and the blank text are copies of each other.
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0) for r in got)) == [(False, i) for i in (1, 2, 5, 6, 7)] + [(True, 0)]
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in got)
+    last = corpus_pipeline.STAGES[-1][1](spark, spark.createDataFrame([], kinds), str(tmp_path))
+    assert last.count() == 0 and last.columns[-3:] == ["ids", "n_tokens", "round_trip"]
