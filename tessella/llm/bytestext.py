@@ -85,6 +85,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 def trim() -> None:
     """Gives freed memory back, so that a worker that is used again does not keep the peak of each operator."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

@@ -214,8 +214,9 @@ def _by_block(index: DataFrame, tests: DataFrame, window: int, find, schema: str
 
         def run(batches, sent=sent):
             for batch in batches:
-                for row in batch.to_pylist():
-                    yield from find(Segment(row), sent.value)
+                for i in range(batch.num_rows):
+                    yield from find(Segment(batch.slice(i, 1).to_pylist()[0]), sent.value)
+                    bt.trim()
 
         out.append(written(index.mapInArrow(run, schema), "matches"))
         sent.destroy()

@@ -31,8 +31,8 @@ SHINGLE, SEED, MOST_BITS = 4, 42, 4
 SEGMENT_BYTES = 1 << 20
 #: Rows of a cell that one task compares with each other; larger cells are dealt out in blocks of about as many.
 CELL = 256
-#: Fingerprints whose cells one task writes.
-SPREAD = 50_000
+#: Rows of cells that one task writes; later tasks count as many, which holds their memory down.
+SPREAD = 1_000_000
 _BLOCKS = 8
 
 _LANES = np.zeros(256, np.uint64)
@@ -135,6 +135,7 @@ def _cells(grids: list[tuple[int, ...]]):
                 for b in blocks:  # beyond four blocks the number wraps, which may only add candidates
                     key = key * np.uint64(6561) + code[:, b]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], names=["cell", "id"])
+            bt.trim()
 
     return cells
 
@@ -245,7 +246,7 @@ def near_links(classes: DataFrame, most: int = MOST_BITS, grid_words: int = 1, a
         return rows.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_links(most), "a long, b long").distinct()
 
     with Scratch(classes.sparkSession) as scratch:
-        tasks = max(1, -(-classes.count() // SPREAD))  # a small table of fingerprints lies in few files, but each gives many rows
+        tasks = max(1, -(-classes.count() * len(grids) // SPREAD))  # a small table of fingerprints lies in few files, but each gives many rows
         cells = scratch.written(classes.select("id", "fp").repartition(tasks, "id").mapInArrow(_cells(grids), "cell long, id long"), "cells")
         counts = cells.groupBy("cell").count().where("count > 1")
         n = F.ceil(F.col("count") / F.lit(CELL)).cast("int")

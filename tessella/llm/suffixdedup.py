@@ -133,6 +133,7 @@ def _texts(docs: DataFrame, text_col: str, name: str) -> DataFrame:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             new = [k not in seen and not seen.add(k) for k in keys]
             yield batch.filter(pa.array(new, pa.bool_()))
+            bt.trim()
 
     kind = "k1 long, k2 long, text string"
     distinct = rows.mapInArrow(once, kind).repartition(buckets, "k1", "k2").mapInArrow(once, kind)
@@ -219,6 +220,7 @@ def _spans(texts: DataFrame, copied: DataFrame, length: int, scratch: Scratch) -
                 columns = list(zip(*out)) if out else [()] * 8
                 signed = lambda c: pa.array(np.array([x & 2**64 - 1 for x in c], np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([signed(columns[0]), signed(columns[1]), signed(columns[2]), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.int32()), pa.array(columns[6], pa.int32()), pa.array(columns[7], pa.binary())], names=["h", "c1", "c2", "k1", "k2", "first", "weight", "bytes"])
+            bt.trim()
 
     cuts = texts.select("k1", "k2", "text").join(runs, ["k1", "k2"]).select("k1", "k2", "text", "runs")
     cuts = scratch.written(cuts.mapInArrow(cut, "h long, c1 long, c2 long, k1 long, k2 long, first int, weight int, bytes binary"), "cuts")
@@ -259,6 +261,7 @@ def _spans(texts: DataFrame, copied: DataFrame, length: int, scratch: Scratch) -
                 texts_at[c1, c2] = len(held)
                 held.append([h, c1, c2, text, weight])
                 size += len(text)
+            bt.trim()
         yield from flush()
 
     distinct = cuts.where("bytes is not null").select("h", "c1", "c2", "weight", "bytes")
@@ -298,7 +301,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, length: int, with_text:
     rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")), "rows")
 
     def solve(batches):
-        for batch in batches:
+        for batch in (whole.slice(a, 256) for whole in batches for a in range(0, whole.num_rows, 256)):
             out = []
             for k1, k2, text, hits in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 raw = text.encode()
@@ -309,6 +312,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, length: int, with_text:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = list(zip(*out)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            bt.trim()
 
     with Scratch(spark) as scratch:
         name = f"tessella_texts_{uuid.uuid4().hex}"
