@@ -31,6 +31,7 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", label: st
                 break
         state = step.select("n", "l")
         least = state.join(nodes.select(F.col(node).alias("n"), F.col(label).alias("m")), "n").groupBy("l").agg(F.min("m").alias("m"))
-        lowered = written(state.join(least, "l").select(F.col("n").alias(node), "m", "l"), "components")
-    root = [F.coalesce("l", node).alias("root")] if roots else []
-    return nodes.join(lowered, node, "left").select(node, F.coalesce("m", label).alias(label), *root)
+        lowered = written(state.join(least, "l").select(F.col("n").alias("_node"), F.col("m").alias("_least"), F.col("l").alias("_root")), "components")
+    joined = nodes.select(F.col(node).alias("_node"), F.col(label).alias("_label")).join(lowered, "_node", "left")
+    root = [F.coalesce("_root", "_node").alias("root")] if roots else []
+    return joined.select(F.col("_node").alias(node), F.coalesce("_least", "_label").alias(label), *root)

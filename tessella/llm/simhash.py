@@ -180,12 +180,16 @@ def _forest(fp: np.ndarray, side: np.ndarray | None, most: int) -> tuple[np.ndar
             seen[new] = True
             frontier = new
     child = np.flatnonzero(parent >= 0)
-    return parent[child], child
+    return np.minimum(parent[child], child), np.maximum(parent[child], child)
 
 
 def _links(most: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (cell, part, side, id, fp), in the order of cell and part: edges within each run."""
+        """Rows (cell, part, side, id, fp), in the order of cell and part: edges within each run.
+
+        Trees begin at the first row of a run, so runs that share rows, in one order everywhere, share edges; a comes
+        before b in that order.
+        """
         held = None
         for table in _and_none(batches):
             if table is None:
@@ -241,16 +245,18 @@ def near_links(classes: DataFrame, most: int = MOST_BITS, grid_words: int = 1, a
         raise ValueError(f"without a choice of grids the limit must be 0 to {_BLOCKS - 1} bits")
     grids = _grids(grid_words, _BLOCKS - most if agree is None else agree)
 
+    turn = _turn("id")  # block 0 holds the first rows of each cell
+
     def compared(rows: DataFrame) -> DataFrame:
         rows = rows.join(classes.select("id", "fp"), "id").select("cell", "part", "side", "id", "fp")
-        return rows.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_links(most), "a long, b long").distinct()
+        return rows.repartition("cell", "part").sortWithinPartitions("cell", "part", turn).mapInArrow(_links(most), "a long, b long").distinct()
 
     with Scratch(classes.sparkSession) as scratch:
         tasks = max(1, -(-classes.count() * len(grids) // SPREAD))  # a small table of fingerprints lies in few files, but each gives many rows
         cells = scratch.written(classes.select("id", "fp").repartition(tasks, "id").mapInArrow(_cells(grids), "cell long, id long"), "cells")
         counts = cells.groupBy("cell").count().where("count > 1")
         n = F.ceil(F.col("count") / F.lit(CELL)).cast("int")
-        block = F.when(n > 1, F.pmod(F.xxhash64("id", F.lit(7)), n)).otherwise(0).cast("int")
+        block = F.least(F.floor((turn / F.lit(2.0**64) + 0.5) * n), n - 1).cast("int")
         rows = scratch.written(cells.join(counts, "cell").select("cell", "id", n.alias("blocks"), block.alias("i")), "shared")
         scratch.drop(cells)
         # Each block meets itself and block 0, whose rows go to all parts: no more rows than the cell has.
@@ -261,7 +267,7 @@ def near_links(classes: DataFrame, most: int = MOST_BITS, grid_words: int = 1, a
         if hot.isEmpty():
             return edges
         # What is in one component already needs no further link.
-        root = components(classes.select("id", F.lit(None).cast("long").alias("label")), edges, "id", "label", roots=True).select("id", "root")
+        root = components(classes.select("id", F.lit(None).cast("long").alias("label")), _contracted(edges), "id", "label", roots=True).select("id", "root")
         hot = scratch.written(hot.join(root, "id"), "hot")
         open_ = hot.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
         across = hot.join(open_, "cell", "left_semi").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> j")
@@ -270,6 +276,24 @@ def near_links(classes: DataFrame, most: int = MOST_BITS, grid_words: int = 1, a
         return edges.unionByName(written(compared(across), "links"))
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the components of edges of near_links, about one a node.
+
+    A node is linked to the first row of its run in each of its cells; it keeps the first of these, to which the others
+    are linked instead. A node has as many of them as grids at most, so the lists are short.
+    """
+    first = F.struct(_turn("a").alias("turn"), F.col("a").alias("id"))
+    stars = edges.groupBy("b").agg(F.sort_array(F.collect_set(first)).alias("to"))
+    pair = lambda x: F.struct(F.col("to")[0]["id"].alias("a"), x.alias("b"))
+    pairs = F.concat(F.array(pair(F.col("b"))), F.transform(F.slice("to", 2, 1 << 20), lambda x: pair(x["id"])))
+    return written(stars.select(F.explode(pairs).alias("e")).select("e.a", "e.b").distinct(), "links")
+
+
+def _turn(column: str):
+    """The order of ids in all cells."""
+    return F.xxhash64(column, F.lit(7))
+
+
 def _classes(prints: DataFrame) -> DataFrame:
     """id, fp and the least doc_id of each distinct fingerprint; written, so that ids stay."""
     return written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.monotonically_increasing_id().alias("id"), "fp", "least"), "classes")
@@ -284,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = written(with_fingerprint(docs, id_col, text_col, shingle), "fingerprints")
     classes = _classes(prints)
-    labels = components(classes, near_links(classes, most), "id", "least").join(classes.select("id", "fp"), "id")
+    labels = components(classes, _contracted(near_links(classes, most)), "id", "least").join(classes.select("id", "fp"), "id")
     named = prints.join(labels, "fp", "left")
     return named.select("doc_id", F.lower(_hex("fp")).alias("fingerprint"), F.col("least").alias("component_id"))
 
@@ -309,7 +333,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(order.alias("order"), r1.alias("r1"), r2.alias("r2"), F.col(text_col).alias("text"))
     prints = written(with_fingerprint(rows, "order", "text", shingle, words, ("r1", "r2")), "fingerprints")
     classes = _classes(prints)
-    labels = components(classes, near_links(classes, most, grid_words, agree), "id", "least", roots=True).join(classes.select("id", "fp"), "id")
+    labels = components(classes, _contracted(near_links(classes, most, grid_words, agree)), "id", "least", roots=True).join(classes.select("id", "fp"), "id")
     first = prints.join(labels, "fp").where(F.col("doc_id") == F.col("least")).groupBy("root").agg(F.min(F.struct("r1", "r2")).alias("row"))
     k1, k2 = fresh(docs.columns, "k1"), fresh(docs.columns, "k2")
     first = first.select(F.col("row.r1").alias(k1), F.col("row.r2").alias(k2))

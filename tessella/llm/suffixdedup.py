@@ -36,6 +36,8 @@ SEGMENT_BYTES = 1 << 20
 CHUNK = 1 << 17
 #: Texts of one anchor beyond which it is split, and windows of a piece then.
 HOT, PIECE = 2000, 32
+#: Tasks that look up one window of a hot anchor.
+SALTS = 16
 #: Bytes of texts whose transform is built at once; more only if one anchor has more, which HOT bounds.
 BUILD_BYTES = 64_000
 BUCKET_BYTES = 16 << 20
@@ -275,7 +277,9 @@ def _spans(texts: DataFrame, copied: DataFrame, length: int, scratch: Scratch) -
         single = distinct.join(heavy, "h", "left_semi").mapInArrow(_windows(length), "h long, c1 long, c2 long, i int, w1 long, w2 long, weight int")
         single = scratch.written(single, "windows")
         often = single.groupBy("h", "w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("h", "w1", "w2")
-        at = single.join(often, ["h", "w1", "w2"]).groupBy("h", "c1", "c2").agg(F.collect_set("i").alias("at"))
+        # A window that thousands of texts hold is looked up in SALTS tasks.
+        salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        at = single.withColumn("salt", F.pmod("c1", F.lit(SALTS)).cast("int")).join(salted, ["h", "w1", "w2", "salt"]).groupBy("h", "c1", "c2").agg(F.collect_set("i").alias("at"))
         marks = marks.unionByName(scratch.written(at.mapInArrow(_runs_of(length), kind), "marks"))
     release(spark)
     hits = cuts.select("h", "c1", "c2", "k1", "k2", "first").join(marks, ["h", "c1", "c2"])

@@ -121,3 +121,18 @@ def test_hot_cells_are_not_compared_as_a_whole(spark, monkeypatch):
     nodes = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, least long")
     got = simhash.components(nodes, simhash.near_links(nodes, 4), "fp", "least").collect()
     assert {x["least"] for x in got} == {0}
+
+
+def test_a_large_group_gives_few_edges(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 16)
+    r = np.random.default_rng(4)
+    base = r.integers(0, 256, 64, dtype=np.uint8)
+    rows = []
+    for i in range(400):
+        bits = np.unpackbits(base)
+        bits[r.choice(512, 20, replace=False)] ^= 1
+        rows.append((i, bytes(np.packbits(bits))))
+    nodes = spark.createDataFrame(rows, "id long, fp binary")
+    edges = simhash._contracted(simhash.near_links(nodes, 80, 3, 3))
+    assert edges.count() < 2 * 400
+    assert {x["l"] for x in simhash.components(nodes.selectExpr("id AS node", "id AS l"), edges, "node", "l").collect()} == {0}
