@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,16 +15,8 @@ RAIL_WIDTHS = {"rail": 9.0, "light_rail": 6.0, "subway": 6.0, "tram": 5.0, "narr
 RAIL_SKIPPED = ["station", "halt", "platform", "subway_entrance", "level_crossing", "crossing", "signal", "switch", "buffer_stop", "milestone", "razed", "abandoned", "construction", "proposed", "turntable", "roundhouse"]
 # Barriers, width and height in metres.
 BARRIERS = {"hedge": (0.9, 1.7), "hedge_bank": (1.2, 1.8), "fence": (0.15, 1.3), "wall": (0.35, 1.8), "dry_stone_wall": (0.5, 1.4), "retaining_wall": (0.4, 1.0), "city_wall": (0.8, 4.0), "guard_rail": (0.1, 0.8), "handrail": (0.08, 1.0)}
-# Land covers by their meaning.
-LAND_COVER = {
-    "farm": ["farmland", "vineyard", "allotments", "plant_nursery", "greenhouse_horticulture"],
-    "grass": ["meadow", "grass", "village_green", "recreation_ground", "residential", "cemetery", "greenfield", "park", "garden", "flowerbed", "pitch", "golf_course", "sports_centre", "common", "grassland", "horse_riding", "dog_park", "resort", "religious"],
-    "wood": ["orchard", "forest", "brownfield", "nature_reserve", "wood", "scrub", "heath"],
-    "paved": ["farmyard", "industrial", "commercial", "retail", "quarry", "construction", "railway", "military", "playground", "shingle", "bare_rock", "scree", "schoolyard", "outdoor_seating"],
-    "beach": ["sand", "beach", "dune"],
-    "water": ["swimming_pool", "swimming_area", "aquaculture", "basin", "reservoir", "salt_pond"],
-    "terrain": ["wetland", "marsh", "cliff"],
-}
+# The cover of each land use, leisure and natural value.
+LAND_COVER = {"farmland": "farm", "vineyard": "farm", "allotments": "farm", "plant_nursery": "farm", "greenhouse_horticulture": "farm", "meadow": "grass", "grass": "grass", "village_green": "grass", "recreation_ground": "grass", "residential": "grass", "cemetery": "grass", "greenfield": "grass", "park": "grass", "garden": "grass", "flowerbed": "grass", "pitch": "grass", "golf_course": "grass", "sports_centre": "grass", "common": "grass", "grassland": "grass", "horse_riding": "grass", "dog_park": "grass", "resort": "grass", "religious": "grass", "orchard": "wood", "forest": "wood", "brownfield": "wood", "nature_reserve": "wood", "wood": "wood", "scrub": "wood", "heath": "wood", "farmyard": "paved", "industrial": "paved", "commercial": "paved", "retail": "paved", "quarry": "paved", "construction": "paved", "railway": "paved", "military": "paved", "playground": "paved", "shingle": "paved", "bare_rock": "paved", "scree": "paved", "schoolyard": "paved", "outdoor_seating": "paved", "sand": "beach", "beach": "beach", "dune": "beach", "swimming_pool": "water", "swimming_area": "water", "aquaculture": "water", "basin": "water", "reservoir": "water", "salt_pond": "water", "wetland": "terrain", "marsh": "terrain", "cliff": "terrain"}
 
 
 def lookup(table: dict, value: Column) -> Column:
@@ -76,8 +66,7 @@ def width(tag: Column, kind: Column, table: dict, skipped: list[str] = ()) -> Co
 
 def land_cover(leisure: Column, landuse: Column, natural: Column, amenity: Column) -> Column:
     """Cover of the first of leisure, landuse, natural that is known; a car park is road; else null."""
-    known = {value: cover for cover, values in LAND_COVER.items() for value in values}
-    return F.coalesce(*[lookup(known, c) for c in (leisure, landuse, natural)], F.when(amenity == "parking", "road"))
+    return F.coalesce(*[lookup(LAND_COVER, c) for c in (leisure, landuse, natural)], F.when(amenity == "parking", "road"))
 
 
 def storeys(height: Column) -> Column:
@@ -85,41 +74,28 @@ def storeys(height: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(4), F.bround(height / STOREY).cast("int")))
 
 
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 # Facade keys by building class, those of houses in turn, the footprint and height that overrule them (metres), and a texture's height a storey.
-FACADES = {
-    "S": ["church", "cathedral", "chapel"],
-    "G": ["industrial", "warehouse", "commercial", "retail", "office", "garage", "garages", "shed", "hut", "hotel", "apartments", "train_station", "university", "supermarket", "civic", "public", "sports_hall", "stadium", "farm_auxiliary", "barn", "hospital"],
-    "H": ["greenhouse", "glasshouse"],
-    "R": ["school"],
-}
+FACADES = {"church": "S", "cathedral": "S", "chapel": "S", "industrial": "G", "warehouse": "G", "commercial": "G", "retail": "G", "office": "G", "garage": "G", "garages": "G", "shed": "G", "hut": "G", "hotel": "G", "apartments": "G", "train_station": "G", "university": "G", "supermarket": "G", "civic": "G", "public": "G", "sports_hall": "G", "stadium": "G", "farm_auxiliary": "G", "barn": "G", "hospital": "G", "greenhouse": "H", "glasshouse": "H", "school": "R"}
 DOMESTIC, BIG_M2, TALL_M = ("R", "Y", "R", "N", "Y"), 400.0, 20.0
 # Wall materials by building class.
-WALLS = {"stone": ["church", "cathedral", "chapel"], "grey": ["industrial", "warehouse", "commercial", "retail"], "dark": ["garage", "garages", "shed"]}
+WALLS = {"church": "stone", "cathedral": "stone", "chapel": "stone", "industrial": "grey", "warehouse": "grey", "commercial": "grey", "retail": "grey", "garage": "dark", "garages": "dark", "shed": "dark"}
 WALL_SCALES = {"brick": 3.0, "grey": 3.0, "dark": 3.0, "stone": 2.0}
 # Heights that a measurement must lie between, and the least width of a barrier, in metres.
 MEASURED, LEAST_BARRIER = (2.0, 350.0), 0.25
 
 
-def _by_value(table: dict, value: Column) -> Column:
-    return lookup({v: k for k, values in table.items() for v in values}, value)
-
-
 def facade(building: Column, amenity: Column, historic: Column, osm_id: Column, height: Column, footprint: Column) -> Column:
     """Key of a building's facade: its class, else a church's, else by size, else a house's in turn; tall ones have glass."""
     kind = F.coalesce(building, F.lit("yes"))
     worship = F.coalesce(amenity == "place_of_worship", F.lit(False)) | (F.coalesce(historic, F.lit("")) != "")
     house = F.element_at(F.array(*[F.lit(k) for k in DOMESTIC]), (F.pmod(osm_id, F.lit(len(DOMESTIC))) + 1).cast("int"))
-    key = F.coalesce(_by_value(FACADES, kind), F.when(worship, "S"), F.when(kind.isin("yes", "") & (footprint >= BIG_M2), "G"), house)
+    key = F.coalesce(lookup(FACADES, kind), F.when(worship, "S"), F.when(kind.isin("yes", "") & (footprint >= BIG_M2), "G"), house)
     return F.when((height >= TALL_M) & (key != "H"), "T").otherwise(key)
 
 
 def wall(building: Column, amenity: Column, historic: Column) -> Column:
     worship = F.coalesce(amenity == "place_of_worship", F.lit(False)) | (F.coalesce(historic, F.lit("")) != "")
-    return F.coalesce(_by_value(WALLS, F.coalesce(building, F.lit("yes"))), F.when(worship, "stone"), F.lit("brick"))
+    return F.coalesce(lookup(WALLS, F.coalesce(building, F.lit("yes"))), F.when(worship, "stone"), F.lit("brick"))
 
 
 def wall_scale(material: Column) -> Column:
@@ -139,3 +115,8 @@ def accepted_height(measured: Column, tagged: Column) -> Column:
 
 def is_bridge(bridge: Column) -> Column:
     return ~F.coalesce(bridge, F.lit("no")).isin("no", "")
+
+
+def trimmed(shares: Column) -> Column:
+    """A map of cover shares in percent without those of half a percent or less."""
+    return F.map_filter(shares, lambda _, share: share > 0.5)

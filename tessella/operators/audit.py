@@ -37,13 +37,39 @@ def index_percentile(sorted_values: Column, share: float) -> Column:
     return F.element_at(sorted_values, F.least(n - 1, F.floor(n * F.lit(share)).cast("int")) + 1)
 
 
+def index_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """by, joins (rows), the value at place floor(share * n) for each share (the last at most), and the most.
+
+    Values are counted before they are ordered, so a group is as many rows as it has distinct values.
+    """
+    counts = rows.groupBy(by, value).count()
+    group = W.partitionBy(by)
+    placed = counts.withColumns({"_end": F.sum("count").over(group.orderBy(value)), "_n": F.sum("count").over(group)})
+    at = lambda share: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(share)))
+    found = [F.min(F.when(F.col("_end") > at(share), F.col(value))).alias(name) for name, share in shares.items()]
+    return placed.groupBy(by).agg(F.max("_n").alias("joins"), *found, F.max(value).alias("most"))
+
+
 def joins_by_flat(sectors: DataFrame, edges: DataFrame, shares: dict[str, float]) -> DataFrame:
     """Percentiles of the difference across each distinct pair of neighbours with one flat. sectors: sector, flat, height."""
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda k: sectors.select(F.col("sector").alias(k), F.col("flat").alias(f"flat_{k}"), F.col("height").alias(f"h_{k}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where("flat_a = flat_b")
-    steps = joined.groupBy(F.col("flat_a").alias("flat")).agg(F.sort_array(F.collect_list(F.abs(F.col("h_a") - F.col("h_b")))).alias("v"))
-    return steps.select("flat", F.size("v").cast("long").alias("joins"), *[index_percentile(F.col("v"), s).cast("long").alias(k) for k, s in shares.items()], F.array_max("v").cast("long").alias("most"))
+    return index_percentiles(joined.select(F.col("flat_a").alias("flat"), F.abs(F.col("h_a") - F.col("h_b")).cast("long").alias("step")), "flat", "step", shares)
+
+
+def angles_by_flat(planes: DataFrame, edges: DataFrame, shares: dict[str, float], least_area: float = 2.0) -> DataFrame:
+    """Percentiles of the angle, in tenths of a degree, between sloped neighbours of one flat and of least_area at least.
+
+    planes: sector, flat, area, pa, pb, pc (normal; level sectors have none).
+    """
+    sloped = planes.where((F.col("area") >= least_area) & F.col("pc").isNotNull() & ((F.col("pa") != 0) | (F.col("pb") != 0)))
+    pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda k: sloped.select(F.col("sector").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("flat", "pa", "pb", "pc")])
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where("flat_a = flat_b")
+    normal = lambda k: tuple(F.col(f"{c}_{k}") for c in ("pa", "pb", "pc"))
+    tenths = F.bround(dihedral(normal("a"), normal("b")) * 10).cast("long")
+    return index_percentiles(joined.select(F.col("flat_a").alias("flat"), tenths.alias("tenths")), "flat", "tenths", shares)
 
 
 def widest(lines: DataFrame, by: str, size: str, top: int, tie: str) -> DataFrame:
@@ -82,3 +108,16 @@ def walk_phases(ticks: DataFrame, by: str, length: int) -> DataFrame:
     at = F.struct("x", "y")
     ends = phased.groupBy(by, "phase").agg(F.min_by(at, "tick").alias("p"), F.max_by(at, "tick").alias("q"), F.count("*").alias("ticks"))
     return ends.select(by, "phase", "ticks", F.hypot(F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")).alias("moved"))
+
+
+def centres(edges: DataFrame, sector: str) -> DataFrame:
+    """Mean of the ends of a sector's edges; a corner counts as often as edges end there. edges: sector, x1, y1, x2, y2."""
+    ends = edges.select(sector, F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("v"))
+    return ends.groupBy(sector).agg(F.avg("v.x").alias("cx"), F.avg("v.y").alias("cy"))
+
+
+def dihedral(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """Degrees between two planes by their normals (not of unit length)."""
+    dot = a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    size = lambda n: F.sqrt((n[0] * n[0] + n[1] * n[1] + n[2] * n[2]).cast("double"))
+    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / (size(a) * size(b))))))

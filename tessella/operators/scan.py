@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry as g
@@ -57,3 +58,37 @@ def nearest(points: DataFrame, places: DataFrame, limit: int) -> DataFrame:
     d = (F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy"))
     best = p.join(q, ["cx", "cy"]).withColumn("d2", d).where(F.col("d2") <= limit * limit).groupBy("pt_id").agg(F.min(F.struct("d2", "place_id")).alias("best"))
     return points.select("pt_id").join(best, "pt_id", "left").select("pt_id", F.col("best.place_id").alias("place_id"), F.col("best.d2").alias("d2"))
+
+
+def side_of_line(points: DataFrame, segments: DataFrame, limit: int) -> DataFrame:
+    """pt_id, way_id and side (1 left, -1 right, 0 on it) of the line's segment that is nearest within limit; ties to the smaller way, then the earlier segment.
+
+    points: pt_id, px, py; segments: way_id, seq, x1, y1, x2, y2. Distances are to segments, in cells of limit.
+    """
+    c = F.col
+    near = _covering(points.select("*", (c("px") - limit).alias("west"), (c("py") - limit).alias("south"), (c("px") + limit).alias("east"), (c("py") + limit).alias("north")), limit)
+    boxes = segments.select("*", F.least("x1", "x2").alias("west"), F.least("y1", "y2").alias("south"), F.greatest("x1", "x2").alias("east"), F.greatest("y1", "y2").alias("north"))
+    met = near.drop("west", "south", "east", "north").join(_covering(boxes, limit), ["cx", "cy"]).where("px BETWEEN west - {0} AND east + {0} AND py BETWEEN south - {0} AND north + {0}".format(limit))
+    dx, dy = (c("x2") - c("x1")).cast("double"), (c("y2") - c("y1")).cast("double")
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((c("px") - c("x1")) * dx + (c("py") - c("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
+    met = met.withColumn("_t", t)
+    d2 = F.pow(c("px") - c("x1") - c("_t") * dx, F.lit(2)) + F.pow(c("py") - c("y1") - c("_t") * dy, F.lit(2))
+    met = met.withColumns({"_d": F.round(d2, 6), "_s": F.signum(g.cross(c("x1"), c("y1"), c("x2"), c("y2"), c("px"), c("py")).cast("double")).cast("int")}).where(d2 <= limit * limit)
+    best = met.groupBy("pt_id").agg(F.min(F.struct("_d", "way_id", "seq", "_s")).alias("b"))
+    return best.select("pt_id", c("b.way_id").alias("way_id"), c("b._s").alias("side"))
+
+
+def squares_of(rings: DataFrame, cell: int, key: str) -> DataFrame:
+    """key, cx, cy of every square that a polygon meets: one that its edges cross, or one inside it. rings: way_id, x1, y1, x2, y2 (key is way_id)."""
+    lines = rings.select("way_id", F.least("x1", "x2").alias("west"), F.least("y1", "y2").alias("south"), F.greatest("x1", "x2").alias("east"), F.greatest("y1", "y2").alias("north"), "x1", "y1", "x2", "y2")
+    spread = _covering(lines, cell)
+    at = lambda c, k=0: (F.col(c) + k) * cell
+    crossed = spread.where(g.segment_meets_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], at("cx"), at("cy"), at("cx", 1), at("cy", 1))).select("way_id", "cx", "cy").distinct()
+    # A square that no edge meets is inside if its corner is: runs of such squares lie between crossings of its row.
+    row = rings.where("y1 <> y2").withColumn("cy", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.ceil(F.greatest("y1", "y2") / cell))))
+    y = F.col("cy") * cell
+    row = row.where((y >= F.least("y1", "y2")) & (y < F.greatest("y1", "y2"))).withColumn("cut", F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    nth = F.row_number().over(W.partitionBy("way_id", "cy").orderBy("cut"))
+    spans = row.withColumn("pair", F.floor((nth - 1) / 2)).groupBy("way_id", "cy", "pair").agg(F.min("cut").alias("a"), F.max("cut").alias("b"))
+    inner = spans.withColumn("cx", F.explode(F.sequence(F.ceil(F.col("a") / cell), F.floor(F.col("b") / cell)))).where((F.col("cx") * cell >= F.col("a")) & (F.col("cx") * cell < F.col("b"))).select("way_id", "cx", "cy")
+    return crossed.unionByName(inner).distinct().select(F.col("way_id").alias(key), "cx", "cy")

@@ -68,3 +68,8 @@ def transitions(ticks: DataFrame, size: int, margin: int) -> DataFrame:
     to_x = F.when(direction == "W", size - 2 * margin).when(direction == "E", 2 * margin).otherwise(x)
     to_y = F.when(direction == "S", size - 2 * margin).when(direction == "N", 2 * margin).otherwise(y)
     return ticks.withColumns({"direction": direction, "to_x": to_x, "to_y": to_y}).where(F.col("direction").isNotNull())
+
+
+def throttled(ticks: DataFrame, every: int = 10, least_speed: float = 0.5) -> DataFrame:
+    """The ticks that are written: every tenth, if the player pushes or moves. ticks: tick, pushing, speed."""
+    return ticks.where((F.col("tick") % every == 0) & (F.col("pushing") | (F.col("speed") >= least_speed)))

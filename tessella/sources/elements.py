@@ -77,3 +77,11 @@ def mosaic(boxes: DataFrame, cells: DataFrame, present: DataFrame) -> DataFrame:
     """query_id, cells, and whether all of them are present: a raster is made of all its squares or not at all. cells: query_id, cell."""
     needed = cells.join(present.select("cell").distinct().withColumn("_here", F.lit(1)), "cell", "left")
     return boxes.select("query_id").join(needed.groupBy("query_id").agg(F.count("*").alias("cells"), F.count("_here").alias("here")), "query_id", "left").select("query_id", F.coalesce("cells", F.lit(0).cast("long")).alias("cells"), F.coalesce(F.col("cells") == F.col("here"), F.lit(False)).alias("complete"))
+
+
+def query_text(selectors: list[str], south: Column, west: Column, north: Column, east: Column) -> Column:
+    """The query of all selectors in bounds, which are rounded to PLACES decimals."""
+    box = F.concat_ws(",", *[F.format_string(f"%.{PLACES}f", c) for c in (south, west, north, east)])
+    for text in selectors:
+        selector(text)  # an error where one is unreadable
+    return F.concat(F.lit("("), *[F.concat(F.lit(text + "("), box, F.lit(");")) for text in selectors], F.lit(")"))

@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from tessella.plans import catalogue
+from tessella.plans import builds, catalogue  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
