@@ -74,7 +74,7 @@ def cells_of_boxes(v):
     return rows.select("pt_id", "cell_e", F.explode(grid.cells(F.col("northing"), far("northing"), 5000)).alias("cell_n"))
 
 
-@query(sql("pts pt_tile", "SELECT ix, iy, CASE WHEN n <= 99 THEN 'MAP' || LPAD(CAST(i + 1 AS VARCHAR), 2, '0') ELSE 'M' || LPAD(CAST(i + 1 AS VARCHAR), 4, '0') END AS map_name FROM (SELECT ix, iy, ROW_NUMBER() OVER (ORDER BY iy, ix) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT ix, iy FROM pt_tile WHERE district_id = 7))"))
+@query(sql("pts pt_tile district_tile", "SELECT district_id, ix, iy, CASE WHEN n <= 99 THEN 'MAP' || LPAD(CAST(i + 1 AS VARCHAR), 2, '0') ELSE 'M' || LPAD(CAST(i + 1 AS VARCHAR), 4, '0') END AS map_name FROM (SELECT district_id, ix, iy, ROW_NUMBER() OVER (PARTITION BY district_id ORDER BY iy, ix) - 1 AS i, COUNT(*) OVER (PARTITION BY district_id) AS n FROM district_tile)"))
 def map_names(v):
     """A name for each tile of each district; a district's tiles are a pack."""
     tiles, pack = v.district_tile(), W.partitionBy("district_id")
@@ -167,9 +167,9 @@ def _blurred(source: str, axis: str) -> str:
     return f"SELECT a.tile_no, a.{axis}, a.{other}, AVG(b.z) AS z FROM {source} a CROSS JOIN (SELECT UNNEST(RANGE(-2, 3)) AS d) o JOIN {source} b ON b.tile_no = a.tile_no AND b.{other} = a.{other} AND b.{axis} = GREATEST(0, LEAST(39, a.{axis} + o.d)) GROUP BY 1, 2, 3"
 
 
-@query(sql("pixel filled", f"+ b1 AS ({_blurred('filled', 'prow')}), b2 AS ({_blurred('b1', 'pcol')}) SELECT tile_no, prow, pcol, ROUND(z, 5) AS z FROM b2"))
+@query(sql("pixel filled", f"+ b1 AS ({_blurred('filled', 'prow')}), b2 AS ({_blurred('b1', 'pcol')}), b3 AS ({_blurred('b2', 'prow')}), b4 AS ({_blurred('b3', 'pcol')}) SELECT tile_no, prow, pcol, ROUND(z, 5) AS z FROM b4"))
 def raster_smooth(v):
-    return raster.smooth(raster.fill_holes(v.pixel(), 40, 40), 2, 1).withColumn("z", F.round("z", 5))
+    return raster.smooth(raster.fill_holes(v.pixel(), 40, 40), 2, 2).withColumn("z", F.round("z", 5))
 
 
 @query(sql("pixel filled", "SELECT tile_no, CAST(FLOOR(z / 4.0) AS BIGINT) AS band, COUNT(*) AS cells FROM filled GROUP BY 1, 2"))
@@ -259,7 +259,7 @@ def reachable(v):
     return graph.reach(edges, v.spark.range(1, 2).withColumnRenamed("id", "node"))
 
 
-@query(sql("edge sides", """+ lost AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 3 = 0), e AS (SELECT a, b FROM sides WHERE len < 12 AND a % 3 = 0 AND b % 3 = 0 AND b IN (SELECT node FROM lost)),
+@query(sql("edge sides", f"""+ {_REACH}, lost AS (SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT node FROM r)), e AS (SELECT a, b FROM sides WHERE a IN (SELECT node FROM lost) AND b IN (SELECT node FROM lost)),
     c(node, root) AS (SELECT node, node FROM lost UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node) SELECT component, COUNT(*) AS sectors FROM (SELECT node, MIN(root) AS component FROM c GROUP BY node) GROUP BY component""", recursive=True))
 def pockets(v):
     """Components of the sectors that reachable() does not find, over every edge between them."""
@@ -281,22 +281,12 @@ def flatness(v):
     return audit.joins_by_flat(v.sectors(), v.edge(), {"p50": 0.5, "p95": 0.95})
 
 
-@query("SELECT map, line, width, lines FROM (SELECT o_custkey % 25 AS map, o_orderkey AS line, o_orderkey % 100 AS width, COUNT(*) OVER (PARTITION BY o_custkey % 25) AS lines, ROW_NUMBER() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderkey % 100 DESC, o_orderkey) AS r FROM orders WHERE o_orderkey % 7 = 0) WHERE r <= 3")
-def one_sided_lines(v):
-    """The longest interior lines without a back side; lines whose two ends lie on the border of the map do not count."""
-    at = lambda c: (F.col(c) / 1000).cast("long").isin(0, 29) | (F.col(c) % 1000).isin(0, 60)
-    side = lambda f: f("p") - f("q")
-    width = F.hypot(side(lambda c: (F.col(c) / 1000).cast("long")), side(lambda c: F.col(c) % 1000))
-    lines = line_sides(v).where(F.col("back").isNull() & ~(at("p") & at("q"))).select(F.col("tile").alias("map"), (F.col("p") * 100_000 + F.col("q")).alias("line"), width.alias("width"))
-    return audit.widest(lines, "map", "width", 3, "line").select("map", "line", "width", "lines")
-
-
 @query(sql("way_nodes segs", "SELECT way_id, COUNT(*) AS odd_vertices FROM (SELECT way_id, x, y FROM (SELECT way_id, x1 AS x, y1 AS y FROM segs UNION ALL SELECT way_id, x2, y2 FROM segs) GROUP BY way_id, x, y HAVING COUNT(*) % 2 = 1) GROUP BY way_id"))
 def open_sectors(v):
     return audit.open_sectors(sequence.segments(v.way_nodes()), "way_id")
 
 
-@query(sql("pack_member", "SELECT member, sig, COUNT(*) AS n FROM pack_member WHERE pack <= 20 GROUP BY member, sig HAVING COUNT(*) >= (SELECT COUNT(DISTINCT pack) FROM pack_member WHERE pack <= 20) - 20"))
+@query(sql("pack_member", "SELECT member, sig, COUNT(*) AS n FROM pack_member GROUP BY member, sig HAVING COUNT(*) * 50 >= (SELECT COUNT(DISTINCT pack) FROM pack_member) * 49"))
 def member_packs(v):
     """Members that nearly all packs hold: at least 49 of 50, which is 20 missing of 1,000."""
     members = v.pack_member()
@@ -310,7 +300,7 @@ def common_members(v):
     return rollup.common_members(v.table("lineitem").selectExpr("l_suppkey AS pack", "l_returnflag AS member", "l_linestatus AS sig"))
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS slug, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 10) UNION ALL SELECT CAST(s_nationkey AS BIGINT), MIN(s_name) FROM supplier WHERE s_suppkey <= 10 GROUP BY s_nationkey")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS slug, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT CAST(s_nationkey AS BIGINT), MIN(s_name) FROM supplier GROUP BY s_nationkey")
 def manifest_upsert(v):
     old = v.table("nation").selectExpr("CAST(n_nationkey AS BIGINT) AS slug", "n_name AS name")
     new = v.table("supplier").groupBy(F.col("s_nationkey").cast("long").alias("slug")).agg(F.min("s_name").alias("name"))
@@ -491,6 +481,18 @@ def line_sides(v):
     return faces.lines(_uses(v), specs, (0, 0, 29, 60)).select("tile", packed("p"), packed("q"), "front", "back", "middle", "bottom", "top", "blocking", "special")
 
 
+@query(f"""WITH {_EDGES}, t AS (SELECT tile, p, q, (p // 1000 - q // 1000) * (p // 1000 - q // 1000) + (p % 1000 - q % 1000) * (p % 1000 - q % 1000) AS d2, COUNT(*) AS uses FROM e GROUP BY tile, p, q),
+    o AS (SELECT tile AS map, p * 100000 + q AS line, d2, COUNT(*) OVER (PARTITION BY tile) AS lines, ROW_NUMBER() OVER (PARTITION BY tile ORDER BY d2 DESC, p * 100000 + q) AS r FROM t
+    WHERE uses = 1 AND NOT ((p // 1000 IN (0, 29) OR p % 1000 IN (0, 60)) AND (q // 1000 IN (0, 29) OR q % 1000 IN (0, 60)))) SELECT map, line, ROUND(SQRT(CAST(d2 AS DOUBLE)), 9) AS width, lines FROM o WHERE r <= 3""")
+def one_sided_lines(v):
+    """The longest interior lines without a back side; lines whose two ends lie on the border of the map do not count."""
+    at = lambda c: (F.col(c) / 1000).cast("long").isin(0, 29) | (F.col(c) % 1000).isin(0, 60)
+    square = lambda f: (f("p") - f("q")) * (f("p") - f("q"))
+    d2 = square(lambda c: (F.col(c) / 1000).cast("long")) + square(lambda c: F.col(c) % 1000)
+    lines = line_sides(v).where(F.col("back").isNull() & ~(at("p") & at("q"))).select(F.col("tile").alias("map"), (F.col("p") * 100_000 + F.col("q")).alias("line"), d2.alias("d2"))
+    return audit.widest(lines, "map", "d2", 3, "line").select("map", "line", F.round(F.sqrt(F.col("d2").cast("double")), 9).alias("width"), "lines")
+
+
 @query(f"""WITH {_EDGES}, t AS (SELECT tile, p, q, MIN(face) AS a, MAX(face) AS b FROM e GROUP BY tile, p, q HAVING COUNT(*) = 2 AND MIN(face) <> MAX(face))
     SELECT tile, a, b, ROUND(SUM(SQRT(CAST((p // 1000 - q // 1000) * (p // 1000 - q // 1000) + (p % 1000 - q % 1000) * (p % 1000 - q % 1000) AS DOUBLE))), 6) AS length FROM t GROUP BY tile, a, b""")
 def shared_boundaries(v):
@@ -563,13 +565,14 @@ def walk_phases(v):
 # --- buildings, barriers, colours -----------------------------------------------------------------------------------
 
 
-@query(sql("ways", """SELECT osm_id, CASE WHEN h >= 20 THEN 'T' WHEN building IS NULL AND osm_id % 900 >= 400 THEN 'G' ELSE CASE osm_id % 5 WHEN 1 THEN 'Y' WHEN 3 THEN 'N' WHEN 4 THEN 'Y' ELSE 'R' END END AS facade, 'brick' AS wall, CAST(3 AS DOUBLE) AS scale
-    FROM (SELECT *, CASE WHEN osm_id % 40 BETWEEN 2 AND 350 THEN CAST(osm_id % 40 AS DOUBLE) ELSE CAST(7 AS DOUBLE) END AS h FROM ways)"""))
+@query(sql("ways", """SELECT osm_id, CASE WHEN h >= 20 THEN 'T' WHEN worship THEN 'S' WHEN building IS NULL AND osm_id % 900 >= 400 THEN 'G' ELSE CASE osm_id % 5 WHEN 1 THEN 'Y' WHEN 3 THEN 'N' WHEN 4 THEN 'Y' ELSE 'R' END END AS facade, CASE WHEN worship THEN 'stone' ELSE 'brick' END AS wall, CAST(CASE WHEN worship THEN 2 ELSE 3 END AS DOUBLE) AS scale
+    FROM (SELECT *, osm_id % 11 = 0 OR osm_id % 13 = 0 AS worship, CASE WHEN osm_id % 40 BETWEEN 2 AND 350 THEN CAST(osm_id % 40 AS DOUBLE) ELSE CAST(7 AS DOUBLE) END AS h FROM ways)"""))
 def facades(v):
-    none = F.lit(None).cast("string")
+    amenity = F.expr("CASE WHEN osm_id % 11 = 0 THEN 'place_of_worship' WHEN osm_id % 3 = 0 THEN 'cafe' END")
+    historic = F.expr("CASE WHEN osm_id % 13 = 0 THEN 'castle' WHEN osm_id % 3 = 1 THEN '' END")
     height = tags.accepted_height((F.col("osm_id") % 40).cast("double"), F.lit(7.0))
-    wall = tags.wall(F.col("building"), none, none)
-    return v.ways().select("osm_id", tags.facade(F.col("building"), none, none, F.col("osm_id"), height, (F.col("osm_id") % 900).cast("double")).alias("facade"), wall.alias("wall"), tags.wall_scale(wall).alias("scale"))
+    wall = tags.wall(F.col("building"), amenity, historic)
+    return v.ways().select("osm_id", tags.facade(F.col("building"), amenity, historic, F.col("osm_id"), height, (F.col("osm_id") % 900).cast("double")).alias("facade"), wall.alias("wall"), tags.wall_scale(wall).alias("scale"))
 
 
 @query(sql("ways", "SELECT osm_id, CAST(0.9 AS DOUBLE) AS width_m, CAST(1.7 AS DOUBLE) AS height_m FROM ways WHERE barrier IS NOT NULL"))
