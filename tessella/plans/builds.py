@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry, grid, tags
-from tessella.operators import arrangement, audit, faces, graph, placement, raster, rollup, scan, sequence, telemetry
+from tessella.operators import arrangement, audit, build, faces, graph, placement, polygons, raster, rollup, scan, sequence, telemetry
 from tessella.plans.catalogue import _BOX, _BOXED, _RECTANGLES, _outlines, query
 from tessella.plans.views import sql
 from tessella.sources import archives, elements
@@ -286,3 +286,52 @@ def reach_counts(v):
     found = graph.reach(v.edge().where("len >= 33 AND step <= 24"), v.spark.range(1, 2).withColumnRenamed("id", "node"))
     lost = v.table("customer").select(F.col("c_custkey").alias("node")).join(found, "node", "left_anti")
     return found.select(F.lit(1).alias("r"), F.lit(0).alias("l")).unionByName(lost.select(F.lit(0).alias("r"), F.lit(1).alias("l"))).agg(F.sum("r").alias("reached"), F.sum("l").alias("lost"))
+
+
+# --- whole tiles ----------------------------------------------------------------------------------------------------
+
+_FEATURES = "SELECT o_custkey AS tile, o_orderkey AS osm_id, o_orderkey % 4 AS k, (o_orderkey * 37) % 200 AS x1, (o_orderkey * 91) % 200 AS y1, (o_orderkey * 37) % 200 + 2 + o_orderkey % 83 AS x2, (o_orderkey * 91) % 200 + 1 + o_orderkey % 71 AS y2 FROM orders"
+#: The same polygons, clipped, with the layer and its least area; roads are six metres wide.
+_SPECS = f"""f AS ({_FEATURES}), p AS (SELECT tile, osm_id, k, GREATEST(x1, 0) AS x1, GREATEST(CASE WHEN k = 2 THEN y1 - 3 ELSE y1 END, 0) AS y1, LEAST(x2, 200) AS x2, LEAST(CASE WHEN k = 2 THEN y1 + 3 ELSE y2 END, 200) AS y2 FROM f),
+    q AS (SELECT * FROM p WHERE x1 < x2 AND y1 < y2 AND (x2 - x1) * (y2 - y1) >= CASE k WHEN 0 THEN 40 WHEN 3 THEN 8 ELSE 0 END UNION ALL SELECT DISTINCT tile, NULL, -1, 0, 0, 200, 200 FROM f),
+    s AS (SELECT *, CASE k WHEN -1 THEN 'base' WHEN 0 THEN 'landuse' WHEN 1 THEN 'water' WHEN 2 THEN 'roads' ELSE 'buildings' END AS layer, ROW_NUMBER() OVER (PARTITION BY tile ORDER BY k, osm_id) - 1 AS spec FROM q)"""
+
+
+def _features(v):
+    rows = v.table("orders").selectExpr(
+        "o_custkey AS tile", "o_orderkey AS osm_id", "element_at(array('landuse', 'water', 'roads', 'buildings'), CAST(o_orderkey % 4 AS INT) + 1) AS bucket", "CAST(NULL AS STRING) AS bridge", "CASE WHEN o_orderkey % 4 = 2 THEN 6D END AS width_m",
+        "CAST((o_orderkey * 37) % 200 AS DOUBLE) AS x1", "CAST((o_orderkey * 91) % 200 AS DOUBLE) AS y1", "CAST((o_orderkey * 37) % 200 + 2 + o_orderkey % 83 AS DOUBLE) AS x2", "CAST((o_orderkey * 91) % 200 + 1 + o_orderkey % 71 AS DOUBLE) AS y2",
+    )
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring, line = F.array(*[corner(x, y) for x, y in _BOX]), F.array(corner("x1", "y1"), corner("x2", "y1"))
+    return rows.withColumn("points", F.when(F.col("bucket") == "roads", line).otherwise(ring)).drop("x1", "y1", "x2", "y2")
+
+
+#: Floor, ceiling and wall of each layer.
+_STYLE = {"base": (0, 9, "earth"), "landuse": (0, 9, "grass"), "water": (-1, 9, "stone"), "roads": (0, 9, "kerb"), "railways": (0, 9, "gravel"), "barriers": (2, 9, "hedge"), "buildings": (6, 9, "brick")}
+
+
+@query(f"WITH {_SPECS} SELECT tile, layer, COUNT(*) AS specs, CAST(SUM((x2 - x1) * (y2 - y1)) AS DOUBLE) AS area, MAX(spec) AS last FROM s GROUP BY tile, layer")
+def tile_layers(v):
+    """The polygons of each layer of a tile, clipped and in order."""
+    known = build.specs(_features(v), (0, 0, 200, 200))
+    return known.groupBy("tile", "layer").agg(F.count("*").alias("specs"), F.sum(polygons.parts_area(F.array("points"))).alias("area"), F.max("spec").alias("last"))
+
+
+@query(f"""WITH {_SPECS}, xs AS (SELECT tile, x, LEAD(x) OVER (PARTITION BY tile ORDER BY x) AS x2 FROM (SELECT tile, x1 AS x FROM s UNION SELECT tile, x2 FROM s)), ys AS (SELECT tile, y, LEAD(y) OVER (PARTITION BY tile ORDER BY y) AS y2 FROM (SELECT tile, y1 AS y FROM s UNION SELECT tile, y2 FROM s)),
+    c AS (SELECT xs.tile, (xs.x2 - xs.x) * (ys.y2 - ys.y) AS a, MAX(s.spec) AS spec FROM xs JOIN ys ON ys.tile = xs.tile JOIN s ON s.tile = xs.tile AND s.x1 <= xs.x AND s.x2 >= xs.x2 AND s.y1 <= ys.y AND s.y2 >= ys.y2 GROUP BY xs.tile, xs.x, ys.y, xs.x2, ys.y2),
+    g AS (SELECT c.tile, layer AS cover, CAST(SUM(a) AS DOUBLE) AS area FROM c JOIN s ON s.tile = c.tile AND s.spec = c.spec GROUP BY c.tile, layer) SELECT tile, cover, area, ROUND_EVEN(area * 100.0 / SUM(area) OVER (PARTITION BY tile), 1) AS pct FROM g""")
+def tile_cover(v):
+    """What each built tile shows, by the area of its sectors."""
+    return build.build(_features(v), (0, 0, 200, 200), _STYLE).cover
+
+
+@query("SELECT o_custkey AS tile, CAST(0 AS BIGINT) AS open_corners, CAST(4 AS BIGINT) AS border_sides, CAST(0 AS BIGINT) AS inner_walls FROM orders GROUP BY 1")
+def tile_parity(v):
+    """Built tiles are closed: an even number of edges meets at each corner of a sector, and only the border has one-sided lines."""
+    tile = build.build(_features(v), (0, 0, 200, 200), _STYLE)
+    open_ = audit.open_sectors(tile.uses.withColumn("sector", F.struct("tile", "face")), "sector").groupBy(F.col("sector.tile").alias("tile")).agg(F.sum("odd_vertices").alias("open_corners"))
+    same = lambda c, bound: (F.col(f"p.{c}") == bound) & (F.col(f"q.{c}") == bound)
+    side = F.when(same("x", 0), 0).when(same("x", 200), 1).when(same("y", 0), 2).when(same("y", 200), 3)
+    walls = tile.lines.where("blocking").groupBy("tile").agg(F.countDistinct(side).alias("border_sides"), F.count_if(F.col("special").isNull()).alias("inner_walls"))
+    return walls.join(open_, "tile", "left").select("tile", F.coalesce("open_corners", F.lit(0).cast("long")).alias("open_corners"), "border_sides", "inner_walls")
