@@ -71,10 +71,11 @@ def construct(symbols: np.ndarray, first: np.ndarray, count: np.ndarray, step: i
     return place, lcp
 
 
-def repeated(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, width: int) -> np.ndarray:
+def repeated(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, width: int, weights: np.ndarray | None = None) -> np.ndarray:
     """True at each byte of data where a string of `length` bytes starts that starts elsewhere in the texts, too.
 
-    length is a multiple of width (1 to 8 bytes).
+    length is a multiple of width (1 to 8 bytes). weights: how often each text occurs. A suffix of a text that occurs more
+    than once has its copies as neighbours, with all its symbols in common, so one of them is kept for all.
     """
     out = np.zeros(len(data), bool)
     if not len(starts):
@@ -92,4 +93,8 @@ def repeated(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     long = np.flatnonzero(lcp >= length // width)
     out[place[long]] = True
     out[place[long - 1]] = True
+    if weights is not None:
+        held = place[place >= 0]
+        text = np.searchsorted(starts, held, "right") - 1
+        out[held[(weights[text] > 1) & (held + length <= ends[text])]] = True
     return out

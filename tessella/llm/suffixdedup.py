@@ -6,8 +6,8 @@ equal windows have equal anchors. Maximal runs of windows with one anchor are th
 hold a repeat and drop out by a count; the texts of each other anchor meet in one task, which builds their transform and
 common prefixes: a window is repeated where a sorted neighbour shares all its bytes.
 
-Skew: equal documents and equal cuttings are one text with a weight, combined before they are sent; a text that occurs
-more than once stands in the transform twice, so its copies are found like any other repeat. An anchor with more than
+Skew: equal documents and equal cuttings are one text with a weight, combined before they are sent; in the transform one
+suffix stands for its copies, which would be its neighbours with all symbols in common. An anchor with more than
 HOT texts (a passage that many documents share) is split by the place of the anchor in the window and by the bytes that
 all windows of a piece share, which no pair of equal windows can differ in. Pieces at the edge of a passage share those
 bytes and differ in the rest; where more than HOT meet, they are split further into single windows, by all their bytes.
@@ -235,11 +235,9 @@ def _spans(texts: DataFrame, copied: DataFrame, length: int, scratch: Scratch) -
         def flush():
             if not held:
                 return
-            # A text that occurs more than once stands there twice: the transform shows its copies, too.
-            both = [r[3] for r in held] + [r[3] for r in held if r[4] > 1]
-            length_of = np.array([len(x) for x in both])
+            length_of = np.array([len(r[3]) for r in held])
             ends = np.cumsum(length_of)
-            hit = columnbwt.repeated(np.frombuffer(b"".join(both), np.uint8), ends - length_of, ends, length, width)
+            hit = columnbwt.repeated(np.frombuffer(b"".join(r[3] for r in held), np.uint8), ends - length_of, ends, length, width, np.array([r[4] for r in held]))
             out = []
             for (h, c1, c2, text, _), a, b in zip(held, (ends - length_of).tolist(), ends.tolist()):
                 mine = hit[a : b - length + 1]
