@@ -8,7 +8,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -195,17 +197,27 @@ def lines_of(nodes: DataFrame, key: str = "way_id", order: str = "seq") -> DataF
 def apply(df: DataFrame, kernel: Callable[..., list[list]], *arguments: str) -> DataFrame:
     """df with parts: what the kernel makes of points and the named columns. Empty or null points have no parts."""
     schema = StructType([*df.schema.fields, StructField("parts", StructType.fromDDL(f"p {PARTS}")[0].dataType)])
-    kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+    def nested(offsets: list[int], values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
     def run(batches):
         for batch in batches:
-            lines = batch.column("points").to_pylist()
+            column = batch.column("points")
+            flat = column.flatten()
+            corners = list(zip(*(flat.field(c).to_numpy(zero_copy_only=False).tolist() for c in "xy")))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()).tolist()
             given = [batch.column(a).to_pylist() for a in arguments]
-            parts = []
-            for i, line in enumerate(lines):
-                found = kernel([(p["x"], p["y"]) for p in line], *[g[i] for g in given]) if line else []
-                parts.append([[{"x": float(x), "y": float(y)} for x, y in part] for part in found if part])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, kind)], names=[*batch.schema.names, "parts"])
+            made, of_part, of_row = [], [0], [0]
+            for i, (first, end) in enumerate(zip([0, *ends], ends)):
+                for part in kernel(corners[first:end], *[g[i] for g in given]) if end > first else []:
+                    if part:
+                        made.extend(part)
+                        of_part.append(len(made))
+                of_row.append(len(of_part) - 1)
+            xy = np.array(made, float).reshape(-1, 2)
+            points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, nested(of_row, nested(of_part, points))], names=[*batch.schema.names, "parts"])
 
     return df.mapInArrow(run, schema)
 
