@@ -257,7 +257,7 @@ def near_links(classes: DataFrame, most: int = MOST_BITS, grid_words: int = 1, a
         counts = cells.groupBy("cell").count().where("count > 1")
         n = F.ceil(F.col("count") / F.lit(CELL)).cast("int")
         block = F.least(F.floor((turn / F.lit(2.0**64) + 0.5) * n), n - 1).cast("int")
-        rows = scratch.written(cells.join(counts, "cell").select("cell", "id", n.alias("blocks"), block.alias("i")), "shared")
+        rows = scratch.written(cells.join(counts, "cell").select("cell", "id", n.alias("blocks"), block.alias("i")).repartition("id"), "shared")  # few of the rows are left, so few files
         scratch.drop(cells)
         # Each block meets itself and block 0, whose rows go to all parts: no more rows than the cell has.
         parts = F.when(F.col("i") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("i"))
