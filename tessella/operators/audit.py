@@ -20,17 +20,38 @@ def spires(sectors: DataFrame, edges: DataFrame, cell: int, least: int, crowd: i
     sectors: sector, x, y, height.
     """
     tops = both_ways(edges).join(sectors.select(F.col("sector").alias("b"), F.col("height").alias("other")), "b").groupBy(F.col("a").alias("sector")).agg(F.max("other").alias("top"))
-    placed = sectors.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    shifts = F.sequence(F.lit(-1), F.lit(1))
-    around = placed.withColumn("dx", F.explode(shifts)).withColumn("dy", F.explode(shifts))
-    around = around.select("sector", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    near = around.join(placed.select("cx", "cy", F.col("sector").alias("other"), F.col("height").alias("h")), ["cx", "cy"]).where("sector <> other")
-    local = near.groupBy("sector").agg(F.sort_array(F.collect_list("h")).alias("hs")).where(F.size("hs") >= crowd)
-    local = local.select("sector", F.element_at("hs", F.floor(F.size("hs") / 2).cast("int") + 1).alias("median"))
+    local = _crowd_medians(sectors.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)}), crowd)
     rise = F.greatest(F.col("height") - F.col("top"), F.col("height") - F.col("median"))  # null medians do not count
     return sectors.join(tops, "sector").join(local, "sector", "left").select("sector", rise.cast("long").alias("rise")).where(F.col("rise") >= least)
 
 
+def _crowd_medians(placed: DataFrame, crowd: int) -> DataFrame:
+    """sector, median: the upper median of the heights of other sectors in the 3 x 3 cells around it, where they are `crowd` at least.
+
+    Heights are counted by cell, so a cell is as many rows as it has distinct heights and no pairs of sectors are made. Of the
+    counts around a sector its own are taken out by rank: n of its height h before the place r leave the value at place r
+    where that is below h, else the value at place r + n. Sectors with rows of more than one place or height meet their
+    surroundings row by row.
+    """
+    shifts = F.sequence(F.lit(-1), F.lit(1))
+    around = lambda rows, *cols: rows.withColumn("dx", F.explode(shifts)).withColumn("dy", F.explode(shifts)).select(*cols, (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+    own = placed.where("sector IS NOT NULL").groupBy("sector").agg(F.count("*").alias("n"), F.collect_set(F.struct("cx", "cy", "height")).alias("at"))
+    single = own.where("size(at) = 1").select("sector", "n", "at")
+    single = single.select("sector", "n", F.col("at")[0]["cx"].alias("cx"), F.col("at")[0]["cy"].alias("cy"), F.col("at")[0]["height"].alias("height")).where("height IS NOT NULL")
+    counts = placed.where("sector IS NOT NULL AND height IS NOT NULL").groupBy("cx", "cy", "height").count()
+    near = around(counts, "height", "count").groupBy("cx", "cy", "height").agg(F.sum("count").alias("count"))
+    ranked = near.withColumn("upto", F.sum("count").over(W.partitionBy("cx", "cy").orderBy("height")))
+    kinds = single.groupBy("cx", "cy", "n").agg(F.lit(1).alias("_")).drop("_").join(near.groupBy("cx", "cy").agg(F.sum("count").alias("all")), ["cx", "cy"])
+    kinds = kinds.where((F.col("all") - F.col("n")) * F.col("n") >= crowd).withColumn("r", F.floor((F.col("all") - F.col("n")) / 2))
+    at = lambda place, name: F.min(F.when(F.col("upto") > place, F.col("height"))).alias(name)
+    found = kinds.join(ranked, ["cx", "cy"]).groupBy("cx", "cy", "n").agg(at(F.col("r"), "below"), at(F.col("r") + F.col("n"), "above"))
+    local = single.join(found, ["cx", "cy", "n"]).select("sector", F.when(F.col("below") < F.col("height"), F.col("below")).otherwise(F.col("above")).alias("median"))
+    several = placed.join(own.where("size(at) > 1").select("sector"), "sector", "left_semi")
+    pairs = around(several, "sector").join(placed.select("cx", "cy", F.col("sector").alias("other"), F.col("height").alias("h")), ["cx", "cy"]).where("sector <> other")
+    listed = pairs.groupBy("sector").agg(F.sort_array(F.collect_list("h")).alias("hs")).where(F.size("hs") >= crowd)
+    return local.unionByName(listed.select("sector", F.element_at("hs", F.floor(F.size("hs") / 2).cast("int") + 1).alias("median")))
+
+
 def index_percentile(sorted_values: Column, share: float) -> Column:
     """The value at place floor(share * n), the last at most; no interpolation."""
     n = F.size(sorted_values)
