@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry as g
+from tessella.operators import tally
 
 
 def _covering(df: DataFrame, cell: int, west="west", south="south", east="east", north="north") -> DataFrame:
@@ -38,6 +39,41 @@ def linework(queries: DataFrame, segments: DataFrame, cell: int) -> DataFrame:
     return joined.where(meets).select("query_id", "way_id").distinct()
 
 
+def _by_place(rows: DataFrame, key: str, place: list[str]) -> tuple[DataFrame, DataFrame]:
+    """key, the place and how often it comes (_n) of keys with one place, and the rows of the other keys."""
+    own = rows.where(f"{key} IS NOT NULL").groupBy(key).agg(F.count("*").alias("_n"), F.collect_set(F.struct(*place)).alias("_at"))
+    one = own.where("size(_at) = 1").select(key, "_n", F.col("_at")[0].alias("_p")).select(key, "_n", "_p.*")
+    return one, rows.join(own.where("size(_at) > 1").select(key), key, "left_semi")
+
+
+def candidate_counts(queries: DataFrame, boxes: DataFrame, cell: int) -> DataFrame:
+    """query_id, ways and id_sum of candidates(), without its pairs where no box of a query ends before it begins."""
+    place = ["q_west", "q_south", "q_east", "q_north"]
+    fair = "q_west <= q_east AND q_south <= q_north"
+    right = queries.where(fair)
+    told = right.join(tally.boxes_at_boxes(right, boxes), place).select("query_id", F.col("s0").alias("ways"), "id_sum")
+    plain = candidates(queries.where(f"NOT ({fair})"), boxes, cell).groupBy("query_id").agg(F.count("*").alias("ways"), F.sum("way_id").alias("id_sum"))
+    return told.unionByName(plain).groupBy("query_id").agg(F.sum("ways").alias("ways"), F.sum("id_sum").alias("id_sum"))
+
+
+def linework_counts(queries: DataFrame, segments: DataFrame, cell: int) -> DataFrame:
+    """query_id and ways: how many linework() finds, without its pairs; queries of more than one box go through it."""
+    place = ["q_west", "q_south", "q_east", "q_north"]
+    one, rest = _by_place(queries, "query_id", place)
+    told = one.join(tally.lines_at_boxes(one, segments, cell // 2), place).select("query_id", F.col("s0").alias("ways"))
+    return told.unionByName(linework(rest, segments, cell).groupBy("query_id").agg(F.count("*").alias("ways")))
+
+
+def inside_counts(points: DataFrame, rings: DataFrame, cell: int) -> DataFrame:
+    """pt_id, rings and id_sum: how many inside() finds, and the sum of their ids, without its pairs.
+
+    Points of more than one place go through it; a point that comes an even number of times has no odd crossings.
+    """
+    one, rest = _by_place(points, "pt_id", ["px", "py"])
+    told = one.where("_n % 2 = 1").join(tally.rings_at_points(one, rings, cell), ["px", "py"]).select("pt_id", F.col("s0").alias("rings"), "id_sum")
+    return told.unionByName(inside(rest, rings, cell).groupBy("pt_id").agg(F.count("*").alias("rings"), F.sum("way_id").alias("id_sum")))
+
+
 def inside(points: DataFrame, rings: DataFrame, cell: int) -> DataFrame:
     """(pt_id, way_id) of points inside closed rings (edges way_id, x1, y1, x2, y2), by the parity of ray crossings.
 
@@ -63,18 +99,17 @@ def nearest(points: DataFrame, places: DataFrame, limit: int) -> DataFrame:
 def side_of_line(points: DataFrame, segments: DataFrame, limit: int) -> DataFrame:
     """pt_id, way_id and side (1 left, -1 right, 0 on it) of the line's segment that is nearest within limit; ties to the smaller way, then the earlier segment.
 
-    points: pt_id, px, py; segments: way_id, seq, x1, y1, x2, y2. Distances are to segments, in cells of limit.
+    points: pt_id, px, py; segments: way_id, seq, x1, y1, x2, y2. Distances are to segments. Each task tells which of its segments may be nearest to a point; the rest is the same for all.
     """
     c = F.col
-    near = _covering(points.select("*", (c("px") - limit).alias("west"), (c("py") - limit).alias("south"), (c("px") + limit).alias("east"), (c("py") + limit).alias("north")), limit)
-    boxes = segments.select("*", F.least("x1", "x2").alias("west"), F.least("y1", "y2").alias("south"), F.greatest("x1", "x2").alias("east"), F.greatest("y1", "y2").alias("north"))
-    met = near.drop("west", "south", "east", "north").join(_covering(boxes, limit), ["cx", "cy"]).where("px BETWEEN west - {0} AND east + {0} AND py BETWEEN south - {0} AND north + {0}".format(limit))
+    met = tally.near_segments(points, segments, limit, 800)
     dx, dy = (c("x2") - c("x1")).cast("double"), (c("y2") - c("y1")).cast("double")
     t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((c("px") - c("x1")) * dx + (c("py") - c("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
     met = met.withColumn("_t", t)
     d2 = F.pow(c("px") - c("x1") - c("_t") * dx, F.lit(2)) + F.pow(c("py") - c("y1") - c("_t") * dy, F.lit(2))
     met = met.withColumns({"_d": F.round(d2, 6), "_s": F.signum(g.cross(c("x1"), c("y1"), c("x2"), c("y2"), c("px"), c("py")).cast("double")).cast("int")}).where(d2 <= limit * limit)
-    best = met.groupBy("pt_id").agg(F.min(F.struct("_d", "way_id", "seq", "_s")).alias("b"))
+    best = met.groupBy("px", "py").agg(F.min(F.struct("_d", "way_id", "seq", "_s")).alias("b"))
+    best = points.join(best, ["px", "py"]).groupBy("pt_id").agg(F.min("b").alias("b"))
     return best.select("pt_id", c("b.way_id").alias("way_id"), c("b._s").alias("side"))
 
 

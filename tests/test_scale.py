@@ -2,7 +2,7 @@
 
 import random
 
-from tessella.operators import audit
+from tessella.operators import audit, scan, tally
 
 
 def test_spires_of_a_crowd_by_plain_loop(spark):
@@ -39,3 +39,81 @@ def test_spires_count_a_crowded_cell_without_pairs(spark):
     heights_of = lambda own: sorted(heights[: heights.index(own)] + heights[heights.index(own) + 1 :])[59_999 // 2]
     want = [(s, max(own - other, own - heights_of(own))) for s, own, other in ((3, h, top), (4, top, h))]
     assert sorted(map(tuple, got.collect())) == [w for w in want if w[1] >= 1]
+
+
+def ways(r, n, span=3000):
+    return [[(r.randrange(span), r.randrange(span)) for _ in range(r.randrange(2, 7))] for _ in range(n)]
+
+
+def segments_of(spark, all_ways, closed=False):
+    pairs = [(w, k, *p, *q) for w, line in enumerate(all_ways) for k, (p, q) in enumerate(zip(line, line[1:] + line[:1] if closed else line[1:]))]
+    return spark.createDataFrame(pairs, "way_id long, seq long, x1 long, y1 long, x2 long, y2 long")
+
+
+def boxes_and_odd_ones(spark, r, n):
+    rows = [(i, x, y, x + r.randrange(200), y + r.randrange(200)) for i in range(n) for x, y in [(r.randrange(3000), r.randrange(3000))]]
+    rows += [rows[3], (4, 0, 0, 400, 400), (n, 9000, 9000, 9001, 9001), (n + 1, None, 0, 5, 5), (n + 2, *rows[0][1:])]
+    return rows, spark.createDataFrame(rows, "query_id long, q_west long, q_south long, q_east long, q_north long")
+
+
+def test_ways_are_counted_at_boxes(spark):
+    """Also boxes that are repeated, share an id, or hold a null; the pairs were rows before."""
+    r = random.Random(3)
+    _, boxes = boxes_and_odd_ones(spark, r, 120)
+    segments = segments_of(spark, ways(r, 150) + [[(5, 5), (5, 5)], [(0, 0), (3000, 3000)]])
+    want = scan.linework(boxes, segments, 500).groupBy("query_id").count().collect()
+    got = scan.linework_counts(boxes, segments, 500)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 100
+
+
+def test_boxes_are_counted_at_boxes(spark, monkeypatch):
+    monkeypatch.setattr(tally, "ROWS", 100)
+    r = random.Random(4)
+    rows, boxes = boxes_and_odd_ones(spark, r, 150)
+    found = [(2**40 * k - 7, x, y, x + r.randrange(900), y + r.randrange(900)) for k in range(600) for x, y in [(r.randrange(3000), r.randrange(3000))]]
+    frame = spark.createDataFrame(found + [(1, None, 0, 9, 9)], "way_id long, west long, south long, east long, north long")
+    want = {}
+    for q, w, s, e, n in rows:
+        ids = [k for k, *b in found if w is not None and b[0] <= e and b[2] >= w and b[1] <= n and b[3] >= s]
+        if ids:
+            want[q] = (want.get(q, (0, 0))[0] + len(ids), want.get(q, (0, 0))[1] + sum(ids))
+    got = scan.candidate_counts(boxes, frame, 500)
+    assert {k: (n, s) for k, n, s in got.collect()} == want
+
+
+def test_rings_are_counted_at_points(spark):
+    """Also rings that cross themselves, points on edges and corners, and ids that come twice or lie at two places."""
+    r = random.Random(5)
+    all_rings = ways(r, 200, 900) + [[(0, 0), (100, 0), (100, 100), (0, 100)]] * 3
+    points = [(i, r.randrange(900), r.randrange(900)) for i in range(300)] + [(300, 0, 0), (301, 100, 50), (302, 50, 100), (303, 50, 0)]
+    points += [points[0], points[1], points[1], (2, 450, 450), (304, None, 5)]
+    frame, rings = spark.createDataFrame(points, "pt_id long, px long, py long"), segments_of(spark, all_rings, closed=True)
+    want = scan.inside(frame, rings, 100).groupBy("pt_id").agg({"*": "count", "way_id": "sum"}).collect()
+    want = sorted((x["pt_id"], x["count(1)"], x["sum(way_id)"]) for x in want)
+    for cell in (100, 5000):
+        assert sorted(map(tuple, scan.inside_counts(frame, rings, cell).collect())) == want and len(want) > 250
+
+
+def test_coordinates_too_far_for_doubles(spark):
+    far = 2**29 + 1
+    segments = segments_of(spark, [[(0, 0), (far, far - 1)], [(0, 0), (3, far), (far, 3)]])
+    boxes = spark.createDataFrame([(1, far - 1, far - 1, far, far - 1), (2, far - 1, far - 2, far, far - 2), (3, 1, 1, 1, 1)], "query_id long, q_west long, q_south long, q_east long, q_north long")
+    want = scan.linework(boxes, segments, 2**28).groupBy("query_id").count().collect()
+    assert sorted(map(tuple, scan.linework_counts(boxes, segments, 2**28).collect())) == sorted(map(tuple, want))
+
+
+def test_nearest_segment_by_plain_loop(spark):
+    r = random.Random(6)
+    lines = ways(r, 60, 800) + [[(10, 10), (10, 10)], [(700, 700), (790, 700)], [(700, 700), (790, 700)]]
+    points = [(i, r.randrange(900), r.randrange(900)) for i in range(150)] + [(150, 720, 705), (0, 720, 705), (151, 5000, 5000), (152, 10, 11)]
+    want = {}
+    for p, px, py in points:
+        for w, line in enumerate(lines):
+            for k, ((a, b), (c, d)) in enumerate(zip(line, line[1:])):
+                dx, dy = c - a, d - b
+                t = max(0.0, min(1.0, ((px - a) * dx + (py - b) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+                d2, side = (px - a - t * dx) ** 2 + (py - b - t * dy) ** 2, dx * (py - b) - dy * (px - a)
+                if d2 <= 60 * 60:
+                    want[p] = min(want.get(p, (1e9,)), (round(d2, 6), w, k, (side > 0) - (side < 0)))
+    got = scan.side_of_line(spark.createDataFrame(points, "pt_id long, px long, py long"), segments_of(spark, lines).repartition(3), 60)
+    assert sorted(map(tuple, got.collect())) == sorted((p, w, s) for p, (_, w, _, s) in want.items()) and len(want) > 100
