@@ -60,7 +60,7 @@ def linework_counts(queries: DataFrame, segments: DataFrame, cell: int) -> DataF
     """query_id and ways: how many linework() finds, without its pairs; queries of more than one box go through it."""
     place = ["q_west", "q_south", "q_east", "q_north"]
     one, rest = _by_place(queries, "query_id", place)
-    told = one.join(tally.lines_at_boxes(one, segments, cell // 2), place).select("query_id", F.col("s0").alias("ways"))
+    told = one.join(tally.lines_at_boxes(one, segments, cell), place).select("query_id", F.col("s0").alias("ways"))
     return told.unionByName(linework(rest, segments, cell).groupBy("query_id").agg(F.count("*").alias("ways")))
 
 
@@ -70,7 +70,7 @@ def inside_counts(points: DataFrame, rings: DataFrame, cell: int) -> DataFrame:
     Points of more than one place go through it; a point that comes an even number of times has no odd crossings.
     """
     one, rest = _by_place(points, "pt_id", ["px", "py"])
-    told = one.where("_n % 2 = 1").join(tally.rings_at_points(one, rings, cell), ["px", "py"]).select("pt_id", F.col("s0").alias("rings"), "id_sum")
+    told = one.where("_n % 2 = 1").join(tally.rings_at_points(one, rings, 2 * cell), ["px", "py"]).select("pt_id", F.col("s0").alias("rings"), "id_sum")
     return told.unionByName(inside(rest, rings, cell).groupBy("pt_id").agg(F.count("*").alias("rings"), F.sum("way_id").alias("id_sum")))
 
 

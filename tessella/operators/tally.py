@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Cells of a matrix at most; coordinates below FAR have cross products that doubles hold.
-CELLS, FAR = 500_000, 2**25
+CELLS, FAR = 300_000, 2**25
 #: Rows of a histogram at most, so that sums of 32-bit halves stay below 2**53.
 ROWS = 1_000_000
 #: What rounding may add to a squared distance, and what equal rounded distances may differ by.
@@ -102,6 +102,18 @@ def _starts(rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
 
 
+def _folded(join: np.ufunc, m: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The rows of m from each first to the next one joined; short runs go row by row for all of them at once."""
+    length = np.diff(np.append(first, len(m)))
+    if length.max(initial=0) > 16:
+        return join.reduceat(m, first, axis=0)
+    out = m[first]
+    for k in range(1, length.max(initial=0)):
+        some = np.flatnonzero(length > k)
+        out[some] = join(out[some], m[first[some] + k])
+    return out
+
+
 def _runs(rows: np.ndarray, width: int) -> Iterator[slice]:
     """Slices of sorted rows with few cells each that part no row from its equals."""
     a, step = 0, max(1, CELLS // max(1, width))
@@ -142,7 +154,8 @@ def lines_at_boxes(boxes: DataFrame, segments: DataFrame, cell: int) -> DataFram
                 meets &= high_x[at, None] >= west
                 meets &= low_y[at, None] <= north
                 meets &= high_y[at, None] >= south
-                totals[0, block] += np.count_nonzero(np.logical_or.reduceat(meets.astype(bool), _starts(way[at]), axis=0), axis=0)
+                meets = _folded(np.logical_or, meets.astype(bool, copy=False), _starts(way[at]))
+                totals[0, block] += (np.ones(len(meets), np.float32) @ meets.astype(np.float32)).astype(np.int64)  # fewer rows than 2**24
 
     return _per_place(_grouped(segments), _places(boxes, names, cell), names, 1, kernel)
 
@@ -183,7 +196,7 @@ def rings_at_points(points: DataFrame, rings: DataFrame, cell: int) -> DataFrame
                 hit &= y2[at, None] > y
                 first = _starts(way[at])
                 rows = way[at][first]
-                hit = np.logical_xor.reduceat(hit.astype(bool), first, axis=0) ^ odd[rows, None]
+                hit = _folded(np.logical_xor, hit.astype(bool, copy=False), first) ^ odd[rows, None]
                 totals[:, block] += (ids[:, rows].astype(float) @ hit.astype(float)).astype(np.int64)
 
     made = _per_place(_grouped(rings), _places(points, ["px", "py"], cell), ["px", "py"], 3, kernel)
