@@ -71,7 +71,7 @@ def build(features: DataFrame, box: tuple, style: dict[str, tuple[int, int, str]
     sectors = uses.select("tile", "face", "spec").distinct().join(known.select("tile", "spec", "layer"), ["tile", "spec"])
     faced = sectors.select("tile", "face", *[F.try_element_at(m, F.col("layer")).alias(k) for k, m in look.items()])
     size = ((box[2] - box[0]) * units, (box[3] - box[1]) * units)
-    areas = uses.select("tile", "face", "spec", "area").distinct().join(known.select("tile", "spec", "layer"), ["tile", "spec"])
+    areas = arrangement.owned_areas(known.select("tile", "spec", "layer", "points"), box[:2], units)
     cover = rollup.cover_percent(areas.select("tile", F.col("layer").alias("cover"), "area"), "tile", "cover")
     return Tile(known, uses, faces.lines(uses, faced, (0, 0, *size)), cover)
 

@@ -2,7 +2,7 @@
 
 import random
 
-from tessella.operators import audit, scan, tally
+from tessella.operators import arrangement, audit, scan, tally
 
 
 def test_spires_of_a_crowd_by_plain_loop(spark):
@@ -117,3 +117,31 @@ def test_nearest_segment_by_plain_loop(spark):
                     want[p] = min(want.get(p, (1e9,)), (round(d2, 6), w, k, (side > 0) - (side < 0)))
     got = scan.side_of_line(spark.createDataFrame(points, "pt_id long, px long, py long"), segments_of(spark, lines).repartition(3), 60)
     assert sorted(map(tuple, got.collect())) == sorted((p, w, s) for p, (_, w, _, s) in want.items()) and len(want) > 100
+
+
+def test_owned_areas_without_faces(spark, monkeypatch):
+    """Of outlines along the axes, also bent ones and those that touch, no face is made; of slanted ones the faces tell."""
+    r = random.Random(7)
+    bent = [(0, 0), (60, 0), (60, 20), (20, 20), (20, 60), (0, 60)]
+    box = lambda: (sorted(r.sample(range(50), 2)), sorted(r.sample(range(50), 2)))
+    tiles = [[[(x[0], y[0]), (x[1], y[0]), (x[1], y[1]), (x[0], y[1])][:: r.choice((1, -1))] for x, y in (box() for _ in range(k))] for k in range(1, 9)]
+    tiles += [[bent, [(10, 10), (40, 10), (40, 40), (10, 40)]], [[(10, 10), (40, 10), (40, 40), (10, 40)], bent], [[(0, 0), (9, 0), (9, 9), (0, 9)]] * 2]
+    slanted = [[(0, 0), (100, 0), (100, 100), (0, 100)], [(0, 0), (50, 20), (20, 50)], [(10, 0), (10, 60), (40, 30)]]
+    want = []
+    for rings in [*tiles, slanted]:
+        total = {}
+        for owner, area, _ in arrangement._outlined(rings):
+            if owner >= 0:
+                total[owner] = total.get(owner, 0.0) + area
+        want.append(total)
+    assert [arrangement.owned(rings) for rings in [*tiles, slanted]] == want
+    monkeypatch.setattr(arrangement, "bounded", None)
+    assert [arrangement.owned(rings) for rings in tiles] == want[:-1]
+    rows = [(t, k, f"l{k % 3}", [(float(x) + 5, float(y)) for x, y in ring]) for t, rings in enumerate(tiles) for k, ring in enumerate(rings)]
+    frame = spark.createDataFrame(rows, "tile long, spec long, layer string, points array<struct<x:double,y:double>>")
+    got = arrangement.owned_areas(frame, (5, 0)).groupBy("tile", "layer").sum("area").collect()
+    sums = {}
+    for t, total in enumerate(want[:-1]):
+        for k, a in total.items():
+            sums[t, f"l{k % 3}"] = sums.get((t, f"l{k % 3}"), 0.0) + a
+    assert {(t, n): a for t, n, a in got} == sums
