@@ -256,6 +256,67 @@ def boxes_at_boxes(places: DataFrame, boxes: DataFrame) -> DataFrame:
     return made.select(*names, "s0", _id_sum().alias("id_sum"))
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of each range, one after the other, and whose they are."""
+    whose = np.repeat(np.arange(len(first)), size)
+    return np.arange(len(whose)) + np.repeat(first - np.cumsum(size) + size, size), whose
+
+
+class _Strips:
+    """Points in strips of equal numbers by x, in each by y."""
+
+    LEVELS = 1024
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        number = max(1, int(len(x) ** 0.5 * 0.8))
+        cuts = np.unique(np.sort(x)[np.arange(number) * len(x) // number]) if len(x) else np.zeros(1)
+        strip = np.searchsorted(cuts, x, "right") - 1
+        order = np.lexsort((y, strip))
+        self.ints = x[order], y[order]
+        self.x, self.y = (c.astype(float) for c in self.ints)
+        self.first = np.searchsorted(strip[order], np.arange(len(cuts)))
+        self.west, self.east = cuts.astype(float), np.maximum.reduceat(self.x, self.first) if len(x) else cuts
+        # Of each strip the first point at or above each level; levels are even between the outer hundredths, so few far points do no harm.
+        self.low, high = np.quantile(self.y, [0.01, 0.99]) if len(x) else (0.0, 0.0)
+        self.scale = self.LEVELS / (high - self.low + 1)
+        self.table = np.searchsorted(strip[order] * self.LEVELS + self.level(self.y), np.arange(len(cuts) * self.LEVELS + 1))
+
+    def level(self, y: np.ndarray) -> np.ndarray:
+        return np.clip((y - self.low) * self.scale, 0, self.LEVELS - 1).astype(np.int64)
+
+    def near(self, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Segments and points, by index, that may be as near as the reach of the point: those in the part of each strip that the segment runs through."""
+        wide = np.maximum.reduceat(reach, self.first)
+        low_x, high_x, low_y, high_y = np.minimum(x1, x2), np.maximum(x1, x2), np.minimum(y1, y2), np.maximum(y1, y2)
+        rounding = 1e-9 * (1 + max(np.abs(c).max() for c in (low_x, high_x, low_y, high_y)))
+        start = np.searchsorted(np.maximum.accumulate(self.east + wide), low_x, "left")
+        end = np.searchsorted(np.minimum.accumulate((self.west - wide)[::-1])[::-1], high_x, "right")
+        at, k = _ranges(start, np.maximum(end - start, 0))
+        # The part of the segment over the strip, and as far beside it as any of its points reaches.
+        r = wide[at] + rounding
+        west, east = np.maximum(self.west[at] - r, low_x[k]), np.minimum(self.east[at] + r, high_x[k])
+        met = np.flatnonzero(west <= east)
+        at, k, r, west, east = (c[met] for c in (at, k, r, west, east))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            slope = np.where(x1 != x2, (y2 - y1) / (x2 - x1), 0.0)
+        base = np.where(x1 != x2, y1 - slope * x1, 0.0)
+        u, v = base[k] + slope[k] * west, base[k] + slope[k] * east
+        steep = np.abs(slope)[k] * rounding + rounding
+        upright = x1 == x2
+        if upright.any():
+            u, v = np.where(upright[k], low_y[k], u), np.where(upright[k], high_y[k], v)
+        low, high = np.maximum(np.minimum(u, v) - steep, low_y[k]) - r, np.minimum(np.maximum(u, v) + steep, high_y[k]) + r
+        first = self.table[at * self.LEVELS + self.level(low)]
+        size = self.table[at * self.LEVELS + self.level(high) + 1] - first
+        some = np.flatnonzero(size > 0)
+        k, first, size = k[some], first[some], size[some]
+        block = np.cumsum(size) // CELLS
+        bounds = np.searchsorted(block, np.arange(block[-1] + 2)) if len(block) else [0]
+        for a, b in zip(bounds, bounds[1:]):
+            j, whose = _ranges(first[a:b], size[a:b])
+            yield k[a:b][whose], j
+
+
 def near_segments(points: DataFrame, segments: DataFrame, limit: int, cell: int) -> DataFrame:
     """px, py, way_id, seq, x1, y1, x2, y2: of each task's segments within limit of a point those that may be nearest to it.
 
@@ -279,41 +340,35 @@ def near_segments(points: DataFrame, segments: DataFrame, limit: int, cell: int)
         return [(place[new], d2[new], *[c[new] for c in rest])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = places.value
-        px, py = (c.astype(float) for c in known.columns)
-        best = np.full(len(known), float(limit) ** 2)
+        strips = _Strips(*places.value.columns)
+        best = np.full(len(strips.x), float(limit) ** 2)
         none = np.array([], np.int64)
         held = [(none, none.astype(float), *[none] * 6)]
+        few = 500  # the first ones are few, as the reach is still wide
         for batch in _gathered(batches, 50_000):
             ints = [batch.column(i).to_numpy() for i in range(6)]
-            x1, y1, x2, y2 = (c.astype(float) for c in ints[2:])
-            dx, dy = x2 - x1, y2 - y1
-            long2 = dx * dx + dy * dy
-            length = np.sqrt(long2)
-            form = np.stack([-dy, dx, dy * x1 - dx * y1], 1)
-            low_x, high_x, low_y, high_y = np.minimum(x1, x2), np.maximum(x1, x2), np.minimum(y1, y2), np.maximum(y1, y2)
-            for block in known.blocks:
-                x, y = px[block], py[block]
-                reach = np.sqrt(best[block] + NEAR) * (1 + 1e-9)
-                w, s, e, n = x.min() - reach.max(), y.min() - reach.max(), x.max() + reach.max(), y.max() + reach.max()
-                near = np.flatnonzero((low_x <= e) & (high_x >= w) & (low_y <= n) & (high_y >= s))
-                corners = [form[near] @ np.array([u, v, 1.0]) for u in (w, e) for v in (s, n)]
-                rounding = 1e-9 * (length[near] + 1) * (np.abs([w, s, e, n]).max() + 1)
-                near = near[(np.minimum.reduce(corners) <= rounding) & (np.maximum.reduce(corners) >= -rounding)]
-                spots, step = np.stack([x, y, np.ones(len(x))]), max(1, CELLS // len(x))
-                for a in range(0, len(near), step):
-                    at = near[a : a + step]
-                    i, j = np.nonzero(np.abs(form[at] @ spots) <= length[at, None] * reach + 1e-6)
-                    k, j = at[i], j + block.start
+            first = 0
+            while first < batch.num_rows and len(best):
+                some = [c[first : first + few] for c in ints]
+                first, few = first + few, min(2 * few, 2000)
+                x1, y1, x2, y2 = (c.astype(float) for c in some[2:])
+                dx, dy = x2 - x1, y2 - y1
+                long2 = dx * dx + dy * dy
+                length = np.sqrt(long2)
+                reach = np.sqrt(best + NEAR) * (1 + 1e-9)
+                for k, j in strips.near(x1, y1, x2, y2, reach):
+                    across = np.abs((py := strips.y[j] - y1[k]) * (ux := dx[k]) - (px := strips.x[j] - x1[k]) * (uy := dy[k]))
+                    fit = np.flatnonzero(across <= length[k] * reach[j] + 1e-6)
+                    k, j, px, py, ux, uy = (c[fit] for c in (k, j, px, py, ux, uy))
                     with np.errstate(invalid="ignore", divide="ignore"):
-                        t = np.where(long2[k] > 0, np.clip(((px[j] - x1[k]) * dx[k] + (py[j] - y1[k]) * dy[k]) / long2[k], 0.0, 1.0), 0.0)
-                    d2 = (px[j] - x1[k] - t * dx[k]) ** 2 + (py[j] - y1[k] - t * dy[k]) ** 2
+                        t = np.where(long2[k] > 0, np.clip((px * ux + py * uy) / long2[k], 0.0, 1.0), 0.0)
+                    d2 = (px - t * ux) ** 2 + (py - t * uy) ** 2
                     np.minimum.at(best, j, d2)
                     fit = d2 <= best[j] + NEAR
-                    held.append((j[fit], d2[fit], *[c[k[fit]] for c in ints]))
+                    held.append((j[fit], d2[fit], *[c[k[fit]] for c in some]))
             held = pruned(held, best)
         (place, _, *rest), = pruned(held, best)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (known.columns[0][place], known.columns[1][place], *rest)], names=["px", "py", *columns])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (strips.ints[0][place], strips.ints[1][place], *rest)], names=["px", "py", *columns])
 
     rows = segments.select(*[F.col(c).cast("long").alias(c) for c in columns]).dropna()
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["px", "py", *columns]))

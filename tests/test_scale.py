@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tessella.operators import arrangement, audit, scan, tally
 
 
@@ -119,6 +121,27 @@ def test_nearest_segment_by_plain_loop(spark):
     assert sorted(map(tuple, got.collect())) == sorted((p, w, s) for p, (_, w, _, s) in want.items()) and len(want) > 100
 
 
+def test_segments_meet_only_the_points_of_strips_that_they_run_through():
+    """No pair within reach is lost, also of upright segments, far points and points in a line; before, each segment was held against blocks of all points."""
+    r = np.random.default_rng(8)
+    far = np.array([[-(10**7), 10**7], [10**7, 3], [450, -(10**8)]])
+    ends = r.integers(0, 1000, (4, 300))
+    ends[2, :20], ends[3, 20:40], ends[:2, 40:50] = ends[0, :20], ends[1, 20:40], ends[2:, 40:50]
+    for points, wide in ((r.integers(0, 1000, (900, 2)), 3), (np.concatenate([r.integers(0, 1000, (600, 2)), far]), 40), (np.stack([np.full(300, 500), np.arange(300) * 3], 1), 2), (np.array([[500, 500]]), 90)):
+        strips = tally._Strips(*np.unique(points, axis=0).T)
+        reach = r.uniform(0, wide, len(strips.x))
+        reach[:2] = 300
+        x1, y1, x2, y2 = ends.astype(float)
+        pairs = [(k, j) for a, b in strips.near(x1, y1, x2, y2, reach) for k, j in zip(a.tolist(), b.tolist())]
+        dx, dy = (x2 - x1)[:, None], (y2 - y1)[:, None]
+        long2 = np.where((dx == 0) & (dy == 0), 1, dx * dx + dy * dy)
+        t = np.clip(((strips.x - x1[:, None]) * dx + (strips.y - y1[:, None]) * dy) / long2, 0, 1)
+        near = np.hypot(strips.x - x1[:, None] - t * dx, strips.y - y1[:, None] - t * dy) <= reach
+        assert set(zip(*(i.tolist() for i in np.nonzero(near)))) <= set(pairs) and len(set(pairs)) == len(pairs)
+        if len(points) > 300:
+            assert len(pairs) < near.size / 2
+
+
 def test_owned_areas_without_faces(spark, monkeypatch):
     """Of outlines along the axes, also bent ones and those that touch, no face is made; of slanted ones the faces tell."""
     r = random.Random(7)
