@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import tags
-from tessella.operators import arrangement, faces, polygons, rollup
+from tessella.operators import arrangement, closure, faces, polygons, rollup
 
 # Layers from the ground up; how far corners may be dropped, in metres; least areas, in square metres.
 LAYERS = ["base", "landuse", "water", "roads", "railways", "barriers", "buildings"]
@@ -48,12 +48,13 @@ def specs(features: DataFrame, box: tuple) -> DataFrame:
 
 @dataclass
 class Tile:
-    """The parts of built tiles: specs, directed edges of sectors (uses), lines with their sides, and shares of cover."""
+    """The parts of built tiles: specs, directed edges of sectors (uses), lines with their sides, shares of cover, and whether faces are closed."""
 
     specs: DataFrame
     uses: DataFrame
     lines: DataFrame
     cover: DataFrame
+    closed: DataFrame
 
     def sectors(self) -> DataFrame:
         """tile, face, spec and area, one row a sector."""
@@ -73,7 +74,8 @@ def build(features: DataFrame, box: tuple, style: dict[str, tuple[int, int, str]
     size = ((box[2] - box[0]) * units, (box[3] - box[1]) * units)
     areas = arrangement.owned_areas(known.select("tile", "spec", "layer", "points"), box[:2], units)
     cover = rollup.cover_percent(areas.select("tile", F.col("layer").alias("cover"), "area"), "tile", "cover")
-    return Tile(known, uses, faces.lines(uses, faced, (0, 0, *size)), cover)
+    closed = closure.closed(known.select("tile", "points"), box[:2], size, units)
+    return Tile(known, uses, faces.lines(uses, faced, (0, 0, *size)), cover, closed)
 
 
 def summary(tile: Tile) -> DataFrame:

@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tessella.operators import arrangement, audit, scan, tally
+from tessella.operators import arrangement, audit, build, closure, scan, tally
 
 
 def test_spires_of_a_crowd_by_plain_loop(spark):
@@ -168,3 +169,57 @@ def test_owned_areas_without_faces(spark, monkeypatch):
         for k, a in total.items():
             sums[t, f"l{k % 3}"] = sums.get((t, f"l{k % 3}"), 0.0) + a
     assert {(t, n): a for t, n, a in got} == sums
+
+
+def flat(tiles):
+    corners = np.array([p for rings in tiles for ring in rings for p in ring])
+    return corners[:, 0], corners[:, 1], np.cumsum([len(ring) for rings in tiles for ring in rings]), np.cumsum([len(rings) for rings in tiles])
+
+
+def test_faces_of_many_tiles_are_closed_without_walks(monkeypatch):
+    """Numbers of faces, open corners and one-sided lines as by the walk around each face, also of bent outlines, spikes and holes; before, each tile was walked."""
+    r, (w, h) = random.Random(9), (60, 50)
+    box = lambda x, y: [(x[0], y[0]), (x[1], y[0]), (x[1], y[1]), (x[0], y[1])]
+    some = lambda: box(sorted(r.sample(range(w + 1), 2)), sorted(r.sample(range(h + 1), 2)))[:: r.choice((1, -1))]
+    bent, spike = [(0, 0), (60, 0), (60, 20), (20, 20), (20, 40), (0, 40)], [(10, 10), (30, 10), (30, 30), (30, 10), (40, 10), (40, 45), (10, 45), (10, 45)]
+    plain = [[*[some() for _ in range(k % 12)], *[bent] * (k % 3 == 0), *[spike] * (k % 5 == 0)] for k in range(90)]
+    plain = [[*rings[:2], box((0, w), (0, h)), *rings[2:]] for rings in plain] + [[box((0, w), (0, h)), box((10, 50), (10, 40)), box((20, 30), (20, 30))]]
+    others = [[box((0, w), (0, h)), [(0, 0), (50, 20), (20, 50)]], [box((5, 20), (5, 20)), box((30, 40), (0, 9))], [box((0, w), (0, h)), box((-3, 9), (5, 9))]]
+    walked = lambda rings: closure.of_faces([(owner >= 0, edges) for owner, _, edges in arrangement._outlined(rings)], (w, h))
+    monkeypatch.setattr(closure, "CELLS", 5000)
+    assert closure._closed(*flat(plain[:40] + others + plain[40:]), (w, h)).T.tolist() == [list(map(int, walked(rings))) for rings in plain[:40] + others + plain[40:]]
+    monkeypatch.setattr(closure, "COORDINATES", 10)
+    assert closure._closed(*flat(plain), (w, h)).T.tolist() == [list(map(int, walked(rings))) for rings in plain]
+    monkeypatch.setattr(closure, "COORDINATES", 170)
+    monkeypatch.setattr(arrangement, "bounded", None)
+    found = closure._closed(*flat(plain), (w, h))
+    assert found[0].max() > 20 and found[0, -1] == 3
+
+
+def test_open_faces_are_told():
+    whole = [(0, 0, 9, 0), (9, 0, 9, 9), (9, 9, 0, 9), (0, 9, 0, 0)]
+    inner = [(2, 2, 4, 2), (4, 2, 4, 4), (4, 4, 2, 2)]
+    assert closure.of_faces([(True, whole)], (9, 9)) == (1, 0, 4, 0, True)
+    assert closure.of_faces([(True, whole[:3])], (9, 9)) == (1, 2, 3, 0, True)
+    assert closure.of_faces([(True, whole), (True, inner)], (9, 9)) == (2, 0, 4, 3, True)
+    assert closure.of_faces([(True, whole), (False, inner)], (9, 9)) == (2, 0, 4, 0, True)
+    assert closure.of_faces([(True, inner), (True, [e[2:] + e[:2] for e in inner])], (9, 9)) == (2, 0, 0, 0, False)
+
+
+def test_closed_tiles_as_by_sectors_and_lines(spark):
+    """The same as from the rows of all edges and lines, with outlines along the axes and slanted ones."""
+    r = random.Random(10)
+    rows = []
+    for i in range(40):
+        x, y = (sorted(r.sample(range(-9, 50), 2)) for _ in range(2))
+        ring = [(x[0], y[0]), (x[1], y[0]), (x[1], y[1]), (x[0], y[1])] if i % 8 else [(x[0], y[0]), (x[1], y[0]), (x[1], y[1])]
+        rows.append((i % 5, i, r.choice(("water", "landuse", "buildings")), [tuple(map(float, p)) for p in [*ring, ring[0]]], None, None))
+    frame = spark.createDataFrame(rows, "tile long, osm_id long, bucket string, points array<struct<x:double,y:double>>, width_m double, bridge string")
+    made = build.build(frame, (0, 0, 40, 40), {k: (0, 9, k) for k in build.LAYERS})
+    open_ = audit.open_sectors(made.uses.withColumn("sector", F.struct("tile", "face")), "sector").groupBy(F.col("sector.tile").alias("tile")).agg(F.sum("odd_vertices").alias("n"))
+    same = lambda c, bound: (F.col(f"p.{c}") == bound) & (F.col(f"q.{c}") == bound)
+    side = F.when(same("x", 0), 0).when(same("x", 40), 1).when(same("y", 0), 2).when(same("y", 40), 3)
+    walls = made.lines.where("blocking").groupBy("tile").agg(F.countDistinct(side).alias("sides"), F.count_if(F.col("special").isNull()).alias("inner"))
+    faces = made.sectors().groupBy("tile").agg(F.count("*").alias("faces"))
+    want = walls.join(faces, "tile").join(open_, "tile", "left").select("tile", "faces", F.coalesce("n", F.lit(0)), "sides", "inner")
+    assert sorted(map(tuple, made.closed.collect())) == sorted(map(tuple, want.collect()))
